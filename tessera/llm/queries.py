@@ -17,7 +17,32 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repetition import measure
+
+    return measure(_table(spark, sf_dir, "documents"))
+
+
+def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sstable import encode_to_shards
+
+    return encode_to_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bin_completion_packing": op1_bin_completion_packing,
+    "op3_repetition_coverage": op3_repetition_coverage,
+    "op4_sstable_shards": op4_sstable_shards,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
