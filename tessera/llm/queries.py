@@ -39,10 +39,24 @@ def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_documents
+
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op5_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion_packing": op1_bin_completion_packing,
+    "op2_secret_ledger": op2_secret_ledger,
     "op3_repetition_coverage": op3_repetition_coverage,
     "op4_sstable_shards": op4_sstable_shards,
+    "op5_path_template_tree": op5_path_template_tree,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
