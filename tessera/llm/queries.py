@@ -51,13 +51,43 @@ def op5_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import cut_documents
+
+    return cut_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_documents
+
+    return scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op9_aho_corasick_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_ac import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion_packing": op1_bin_completion_packing,
     "op2_secret_ledger": op2_secret_ledger,
     "op3_repetition_coverage": op3_repetition_coverage,
     "op4_sstable_shards": op4_sstable_shards,
     "op5_path_template_tree": op5_path_template_tree,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_license_classifier": op8_license_classifier,
+    "op9_aho_corasick_viterbi": op9_aho_corasick_viterbi,
+    "op10_relative_lz": op10_relative_lz,
 }
 
 ORACLE: dict[str, str] = {

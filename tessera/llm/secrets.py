@@ -92,7 +92,7 @@ def scan(versions: DataFrame, ledger: str, ws: Workspace, id_col: str = "doc_id"
         blobs = blobs.join(seen, "blob", "left_anti")
     todo = ws.stage(blobs.select("path_id", F.col("blob").alias("want")), "todo")
     # One representative row per unseen blob; a repeated path_id is settled by comparing the content again.
-    texts = source.join(todo, "path_id").where(F.unhex(F.sha2("body", 256)) == F.col("want"))
+    texts = source.join(todo.withColumnRenamed("path_id", "at"), F.col("path_id").eqNullSafe(F.col("at"))).where(F.unhex(F.sha2("body", 256)) == F.col("want"))
     fresh = texts.select(F.col("want").alias("blob"), F.lit(rule_version).alias("rule_version"), all_spans(F.col("body"), rules).alias("spans")).dropDuplicates(["blob"])
     fresh.write.mode("append").option("compression", "zstd").parquet(ledger)
     known = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")

@@ -37,12 +37,15 @@ RESTART = 16
 PROBES = 7
 
 
-def key_of(doc_id: int) -> bytes:
-    return ((doc_id + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
+NO_ID = b"\0" * 8  # the key of rows whose id is null; no other id has it unless it is -2**63
 
 
-def id_of(key: bytes) -> int:
-    return int.from_bytes(key, "big") - (1 << 63)
+def key_of(doc_id: int | None) -> bytes:
+    return NO_ID if doc_id is None else ((doc_id + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
+
+
+def id_of(key: bytes) -> int | None:
+    return None if key == NO_ID else int.from_bytes(key, "big") - (1 << 63)
 
 
 def _probes(key: bytes, bits: int) -> list[int]:
