@@ -115,15 +115,13 @@ def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     return findings.select(F.col(id_col), *counts, F.sha2(joined(only_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column, rules: tuple[Rule, ...] = RULES, mask: str = "[REDACTED]") -> Column:
-    """``text`` with every found span replaced by ``mask`` (overlapping spans by one)."""
-    spans = all_spans(text, rules)
+def mask_spans(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
+    """``text`` with its spans replaced by ``mask`` (overlapping spans by one)."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        )
+        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)).alias("out"))
+        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
