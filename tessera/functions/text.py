@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the search tokeniser, of the baseline tokeniser, and a capitalised phrase of up to three words.
 SEARCH_TOKEN = r"[a-z0-9_ı]+|[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
@@ -23,7 +24,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_exact(text: pd.Series) -> pd.Series:
     """NFKC, then full case folding. Apply it to distinct values and join back where texts repeat."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

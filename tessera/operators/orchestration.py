@@ -23,18 +23,17 @@ def ready_slots(slots: DataFrame, runs: DataFrame) -> DataFrame:
     return open_.join(blocked, ["plan_id", "slot_id"], "left_anti").select("plan_id", "slot_id", (F.coalesce("attempt", F.lit(0)) + 1).alias("next_attempt"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 32) -> DataFrame:
-    """Everything that ``starts`` (plan_id, slot_id) need, themselves included: frontiers over (plan_id, slot_id, dep).
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Everything that ``starts`` (plan_id, slot_id) need, themselves included, over edges (plan_id, slot_id, dep).
 
-    A plan has few slots; the depth is bounded by ``most`` levels.
+    A plan has few slots, so it fits a row: one shuffle by plan, and a fold that widens the reached set, without rounds.
     """
-    seen = frontier = starts.select("plan_id", "slot_id").distinct()
-    for _ in range(most):
-        frontier = frontier.join(edges, ["plan_id", "slot_id"]).select("plan_id", F.col("dep").alias("slot_id")).distinct().join(seen, ["plan_id", "slot_id"], "left_anti")
-        if not frontier.limit(1).count():
-            return seen
-        seen = seen.unionByName(frontier)
-    raise ValueError("a plan is deeper than allowed")
+    graph = edges.groupBy("plan_id").agg(F.collect_list(F.struct("slot_id", "dep")).alias("edges"))
+    begin = starts.groupBy("plan_id").agg(F.collect_set("slot_id").alias("reached"))
+    both = begin.join(graph, "plan_id", "left").withColumn("edges", F.coalesce("edges", F.filter(F.array(F.struct(F.col("reached")[0].alias("slot_id"), F.col("reached")[0].alias("dep"))), lambda e: F.lit(False))))
+    widen = lambda reached: F.array_union(reached, F.transform(F.filter("edges", lambda e: F.array_contains(reached, e["slot_id"])), lambda e: e["dep"]))
+    rounds = F.sequence(F.lit(1), F.size("edges") + 1)
+    return both.select("plan_id", F.explode(F.aggregate(rounds, F.col("reached"), lambda acc, _: widen(acc))).alias("slot_id"))
 
 
 def fact_versions(facts: DataFrame) -> DataFrame:
