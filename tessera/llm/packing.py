@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,11 @@ from .common import Workspace
 
 CAPACITY = 2048
 #: Search nodes that bin completion may open after the best-fit incumbent.
-NODES = 400
-#: Fillings looked at for one node.
-WIDTH = 64
+NODES = 8_000
+#: Fillings kept for one node.
+WIDTH = 3
+#: Steps of one enumeration of fillings.
+STEPS = 600
 #: Parts in which the pieces of one length are ranked.
 WAYS = 1024
 
@@ -38,15 +41,16 @@ Pattern = tuple[tuple[int, ...], int]  # lengths in one sequence, and how many s
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that any packing needs: total length, and pieces over a threshold that cannot share (Martello and Toth)."""
-    best = -(-sum(x * n for x, n in counts.items()) // capacity)
-    lengths = sorted(counts)
-    for k in {x for x in lengths if 2 * x <= capacity} | {0}:
-        big = sum(n for x, n in counts.items() if x > capacity - k)
-        half = [(x, n) for x, n in counts.items() if capacity - k >= x and 2 * x > capacity]
-        small = sum(x * n for x, n in counts.items() if 2 * x <= capacity and x >= max(k, 1))
-        free = sum((capacity - x) * n for x, n in half)
-        best = max(best, big + sum(n for _, n in half) + max(0, -(-(small - free) // capacity)))
-    return best
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    size = np.arange(capacity + 1)
+    pieces, tokens = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * size)))  # of lengths below i
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = pieces[-1] - pieces[half + 1]  # over half a sequence: no two share one
+    small = tokens[half + 1] - tokens[k]  # from k to half
+    free = (pieces[capacity - k + 1] - pieces[half + 1]) * capacity - (tokens[capacity - k + 1] - tokens[half + 1])
+    return int(max(-(-int(tokens[-1]) // capacity), int((alone + np.maximum(0, -((free - small) // capacity))).max())))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -83,53 +87,49 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(items, n) for groups in by_free.values() for items, n in groups]
 
 
-def fillings(counts: dict[int, int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, the fullest first.
+def fillings(lengths: list[int], counts: dict[int, int], room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` from ascending ``lengths``, the fullest first, of those the one with the largest pieces.
 
-    A filling is dominated if a length outside it fits in the room that is left plus the room of some of its items that
-    it exceeds or equals: swapping those for it leaves smaller pieces for later.
+    A filling is dominated if a length outside it fits in the room that is left plus the room of some of its items:
+    swapping those for it leaves smaller pieces for later. Enumeration goes from large to small and ends early once
+    ``width`` fillings without waste are known, since no other is fuller.
     """
-    lengths = sorted((x for x in counts if x <= room and counts[x]), reverse=True)
-    found: list[tuple[int, ...]] = []
-    steps = 0
-
-    def grow(at: int, room: int, items: tuple[int, ...]) -> bool:
-        """False once enough fillings without waste are found, or many have been looked at."""
-        nonlocal steps
+    found: list[tuple[int, tuple[int, ...]]] = []
+    exact = steps = 0
+    # (largest index that may still be used, room left, items)
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(len(lengths), room, ())]
+    least = lengths[0] if lengths else room + 1
+    while stack and exact < width and steps < STEPS:
+        top, left, items = stack.pop()
         steps += 1
-        while at < len(lengths) and lengths[at] > room:
-            at += 1
-        if at == len(lengths):
-            found.append(items)
-            return not (room == 0 and sum(1 for f in found if sum(f) == whole) >= 4) and len(found) < 4 * width and steps < 64 * width
+        at = bisect_right(lengths, left, 0, top) - 1
+        if at < 0:
+            found.append((left, items))
+            exact += left == 0
+            continue
         x = lengths[at]
-        for n in range(min(counts[x], room // x), -1, -1):
-            if n == 0 and at + 1 < len(lengths) and room < lengths[-1]:
-                break
-            if not grow(at + 1, room - n * x, items + (x,) * n):
-                return False
-        return True
-
-    whole = room
-    if not lengths:
-        return [()]
-    grow(0, room, ())
-    ascending = lengths[::-1]
-
-    def dominated(items: tuple[int, ...]) -> bool:
-        waste = whole - sum(items)
-        used = {x: items.count(x) for x in set(items)}
-        sizes = range(0, len(items) + 1) if len(items) <= 8 else range(0, 2)
+        most = min(counts[x], left // x)
+        if left - x >= least or at:
+            stack.append((at, left, items))  # without x: only smaller ones
+        for n in range(1, most + 1):  # the most of x is looked at first
+            stack.append((at, left - n * x, items + (x,) * n))
+    ranked = sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))[: 4 * width]
+
+    def dominated(waste: int, items: tuple[int, ...]) -> bool:
+        sizes = range(len(items) + 1) if len(items) <= 6 else range(2)
         for s in {sum(c) for k in sizes for c in itertools.combinations(items, k)}:
-            for x in ascending[bisect_left(ascending, max(s, 1)) :]:
-                if x > s + waste:
-                    break
-                if x > s and counts[x] > used.get(x, 0):
+            at = bisect_right(lengths, s + waste) - 1
+            while at >= 0 and lengths[at] > s:
+                if counts[lengths[at]] > items.count(lengths[at]):
                     return True
+                at -= 1
         return False
 
-    ranked = sorted(set(found), key=lambda f: (whole - sum(f), len(f), tuple(-x for x in f)))[:width]
-    return [f for f in ranked if not dominated(f)] or ranked[:1]
+    kept = []
+    for waste, items in ranked:
+        if len(kept) < width and (waste == 0 or not dominated(waste, items)):
+            kept.append(items)
+    return kept or [ranked[0][1] if ranked else ()]
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -145,32 +145,38 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     total = sum(x * n for x, n in counts.items())
     opened = 0
     # Depth first, without recursion: (counts left, patterns so far, sequences so far, waste so far)
-    stack = [(counts, (), 0, 0)]
+    stack: list[tuple] = [(counts, None, 0, 0)]
     while stack and most > least and opened < nodes:
         left, made, n_made, waste = stack.pop()
-        # every sequence that an improvement may use holds `capacity`; more waste than that spare room cannot improve
+        # all sequences of an improvement together have this much room to waste; more cannot improve
         if waste > (most - 1) * capacity - total:
             continue
         if not left:
             if n_made < most:
-                most = n_made
-                incumbent = []
+                most, incumbent = n_made, []
                 while made:
-                    incumbent.append(made[1])
-                    made = made[0]
-            continue
-        if n_made + lower_bound(left, capacity) >= most:
+                    made, pattern = made
+                    incumbent.append(pattern)
             continue
         opened += 1
+        if opened % 64 == 0 and n_made + lower_bound(left, capacity) >= most:
+            continue
         x = max(left)
         rest = dict(left)
         rest[x] -= 1
+        if not rest[x]:
+            del rest[x]
         children = []
-        for filling in fillings({k: v for k, v in rest.items() if v}, capacity - x):
+        for filling in fillings(sorted(rest), rest, capacity - x):
             items = (x, *filling)
-            times = min(left[k] // items.count(k) for k in set(items))
-            after = {k: v - times * items.count(k) for k, v in left.items()}
-            children.append(({k: v for k, v in after.items() if v}, (made, (items, times)), n_made + times, waste + times * (capacity - sum(items))))
+            each = Counter(items)
+            times = min(left[k] // c for k, c in each.items())
+            after = dict(left)
+            for k, c in each.items():
+                after[k] -= times * c
+                if not after[k]:
+                    del after[k]
+            children.append((after, (made, (items, times)), n_made + times, waste + times * (capacity - sum(items))))
         stack += children[::-1]
     return incumbent
 
