@@ -153,18 +153,21 @@ def feedback_terms(hits: DataFrame, docs: DataFrame, terms: DataFrame, n: int =
     return counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("query_id", "term", "n_seen", "pos")
 
 
-def dense_top(vectors: DataFrame, asked: DataFrame, k: int, blocks: int = 64) -> DataFrame:
+def dense_top(vectors: DataFrame, asked: DataFrame, k: int, per_block: int = 256, ways: int = 64) -> DataFrame:
     """Exact cosine top k: ``asked`` (query_id, vector; a stated query set) against all (chunk_id, vector), block by block.
 
-    Every vector meets the query set once: queries are packed into one array per block row and a partial top k is kept per
-    block, so what is shuffled is k rows for each query and block.
+    Queries are packed in blocks of about ``per_block``, vectors are dealt into ``ways``; every block of queries meets every part of
+    the vectors in one task, keeps k rows for each of its queries there, and only those are ranked again.
     """
-    packed = asked.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked"))
-    scored = vectors.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).withColumn("q", F.explode(packed.select("asked").scalar())).select(
-        F.col("q.query_id").alias("query_id"), "chunk_id", "block", F.round(scores.cosine(F.col("vector"), F.col("q.qv")), DIGITS).alias("score")
+    n_blocks = asked.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_block)).cast("int")).scalar()
+    packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked"))
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(ways)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    scored = dealt.join(packed, ["block", "part"]).withColumn("q", F.explode("asked")).select(
+        F.col("q.query_id").alias("query_id"), "chunk_id", "part", F.round(scores.cosine(F.col("vector"), F.col("q.qv")), DIGITS).alias("score")
     )
-    partial = Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "chunk_id")
-    return top(scored.withColumn("_n", F.row_number().over(partial)).where(F.col("_n") <= k).drop("_n", "block"), k)
+    partial = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "chunk_id")
+    return top(scored.withColumn("_n", F.row_number().over(partial)).where(F.col("_n") <= k).drop("_n", "part"), k)
 
 
 def hash_embedding(terms: DataFrame, dim: int = 64) -> DataFrame:
