@@ -8,6 +8,7 @@ A text in which such a cut is not certain (three blanks in a row, or two at its
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,12 +16,21 @@ import numpy as np
 
 END = b"\x00\x00\x00\x00"
 #: Pieces that a worker remembers: about 150 bytes each.
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 _UNSURE = re.compile(r"\s\s(?:\s|\Z)")
-_PLAIN = re.compile(r" ?[^\s\x00]+")
 _MARKS = (".", ",", "!", "?", ";", ":")
 
 
+def _alphabet() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it prints, else the next one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(others)) for b in range(256)}
+
+
+_ALPHABET = _alphabet()
+
+
 @lru_cache(maxsize=2)
 def _load(path: str):
     import os
@@ -37,7 +47,16 @@ class PackedEncoder:
     def __init__(self, path: str, remember: int = REMEMBER):
         self.tokenizer, self.remember = _load(path), remember
         self.known: dict[str, bytes] = {}
-        self.line_feed = int(np.frombuffer(next(self._ask(["\n"])), "<u4")[-1])
+        self.line_feed, *marks = self._ask(["\n", *_MARKS])
+        self.marks = dict(zip(_MARKS, marks, strict=True))
+        self.known: dict[str, bytes] = {}
+        self.line_feed, *marks = self._ask(["\n", *_MARKS])
+        self.marks = dict(zip(_MARKS, marks, strict=True))
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        # the model's alphabet: each byte as the character that byte-level pre-tokenising writes for it
+        two = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {b: two(chr(b))[0][0] for b in range(128)} | {b: two(bytes([0xC2 + (b >> 6) - 2, b & 0xBF]).decode())[0][0][1] for b in range(128, 192)}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -47,35 +66,23 @@ class PackedEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into ``known``."""
-        known, stems, whole, made = self.known, set(), [], []
+        known, rest = self.known, []
+        tokenize, one = self.tokenizer.model.tokenize, struct.Struct("<I").pack
         for p in pieces:
-            # a line feed before a non-blank, and a mark after a letter, are always tokens of their own
-            stem = p[1:] if p[:1] == "\n" and len(p) > 1 else p
-            mark = stem[-1:] if stem[-1:] in _MARKS and stem[-2:-1].isalpha() else ""
-            stem = stem[:-1] if mark else stem
-            if not _PLAIN.fullmatch(stem):
-                whole.append(p)
+            # a line feed before a word, and a mark after one, are always tokens of their own
+            word = p[1:] if p[:1] == "\n" else p
+            mark = word[-1:] if word[-1:] in self.marks else ""
+            word = word[: len(word) - len(mark)]
+            if not (word[1:] if word[:1] == " " else word).isalpha():
+                rest.append(p)
                 continue
-            made.append((p, "\n" if p[:1] == "\n" else "", stem, mark))
-            stems.add(stem)
-        for mark in ("\n", *_MARKS):
-            if mark not in known:
-                known[mark] = next(self._ask([mark]))
-        known[""] = b""
-        fresh = [s for s in stems if s not in known]
-        for start in range(0, len(fresh), 20_000):
-            # one text for many stems: the line feed before each stem is a token of its own, and no stem holds one
-            part = fresh[start : start + 20_000]
-            ids = np.frombuffer(next(self._ask(["\n" + "\n".join(part)])), "<u4")
-            cuts = np.flatnonzero(ids == self.line_feed)
-            if len(cuts) != len(part):
-                raise ValueError("this tokenizer does not keep a line feed as a token of its own")
-            ends = np.append(cuts[1:], len(ids)) * 4
-            raw = ids.tobytes()
-            known.update(zip(part, (raw[s:e] for s, e in zip((cuts * 4 + 4).tolist(), ends.tolist(), strict=True)), strict=True))
-        for p, first, stem, mark in made:
-            known[p] = known[first] + known[stem] + known[mark]
-        known.update(zip(whole, self._ask(whole), strict=True))
+            ids = known.get(word)
+            if ids is None:  # letters after at most one blank are one word to the model
+                ids = known[word] = b"".join([one(t.id) for t in tokenize(word.encode().decode("latin-1").translate(_ALPHABET))])
+            if word != p:
+                known[p] = (self.line_feed if p[:1] == "\n" else b"") + ids + (self.marks[mark] if mark else b"")
+        if rest:
+            known.update(zip(rest, self._ask(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
