@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Metadata keys (letters and digits only) that a caller may not set.
-RESERVED_KEYS = ("root", "workspaceroot", "rootpath", "filesystemroot")
+RESERVED_KEYS = ("workspaceroot", "workspacepath", "artifactroot", "artifactpath", "skillpackid", "baseagentprofileid")
 
 
 def bounded_value(text: Column, most: int) -> Column:

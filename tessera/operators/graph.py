@@ -60,13 +60,13 @@ def paths(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, node_ok: Col
 def gate(evidence: DataFrame, metric: str = "recall_at_5", threshold: float = 0.03) -> DataFrame:
     """Whether graph retrieval may be used: the first reason that applies, for rows of evaluation evidence."""
     reason = (
-        F.when(~F.col("enabled"), "disabled")
-        .when(F.col("evaluation_id").isNull(), "missing_evaluation")
-        .when(F.col("evaluation_id") != F.col("expected_id"), "evaluation_id_mismatch")
-        .when(F.col("content_hash") != F.col("expected_hash"), "content_hash_mismatch")
+        F.when(~F.col("enabled"), "config_disabled")
+        .when(F.col("evaluation_id").isNull(), "evaluation_missing")
+        .when(F.col("evaluation_id") != F.col("expected_id"), "evaluation_identity_mismatch")
+        .when(F.col("content_hash") != F.col("expected_hash"), "evaluation_hash_mismatch")
         .when(F.col("metric") != metric, "metric_mismatch")
-        .when(F.col("safety_violations") > 0, "safety_violation")
-        .when(F.col("improvement") + 1e-12 < threshold, "below_threshold")
-        .otherwise("passed")
+        .when(F.col("safety_violations") > 0, "safety_regression")
+        .when(F.col("improvement") + 1e-12 < threshold, "improvement_below_threshold")
+        .otherwise("gate_passed")
     )
-    return evidence.withColumn("reason", reason).withColumn("opened", F.col("reason") == "passed")
+    return evidence.withColumn("reason", reason).withColumn("opened", F.col("reason") == "gate_passed")

@@ -112,3 +112,15 @@ def upsert_latest(stored: DataFrame, incoming: DataFrame, key: Sequence[str], or
 def replace_slice(stored: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Stored rows with every slice that incoming rows touch replaced by them."""
     return stored.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming)
+
+
+def capability(requests: DataFrame) -> DataFrame:
+    """Decisions on tool requests (allowed_tools, tool, registered, side_effecting, idempotency_key, requires_approval, risk): the first rule that applies."""
+    refused = ~F.array_contains("allowed_tools", F.col("tool")) | ~F.col("registered") | (F.col("side_effecting") & (F.coalesce("idempotency_key", F.lit("")) == ""))
+    asks = F.col("requires_approval") | F.col("risk").isin("write", "external", "destructive")
+    return requests.withColumn("decision", F.when(refused, "deny").when(asks, "approval").otherwise("allow"))
+
+
+def safety_violation(ok: Column, error: Column) -> Column:
+    """A failed tool result whose error is a refusal."""
+    return ~ok & F.coalesce(error, F.lit("")).isin(list(SAFETY_ERRORS))

@@ -108,9 +108,9 @@ def citation_lists(spark, d):
     return firsts.select("case_id", "ref", F.row_number().over(Window.partitionBy("case_id").orderBy("first", "ref")).alias("pos"))
 
 
-@query("SELECT event_id, list_has_any(list_transform(json_keys(m), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g')), ['root', 'workspaceroot', 'rootpath', 'filesystemroot']) AS reserved FROM (SELECT event_id, '{\"' || CASE event_id % 4 WHEN 0 THEN 'Workspace-Root' WHEN 1 THEN 'note' WHEN 2 THEN 'ROOT' ELSE 'rooted' END || '\":\"1\"}' AS m FROM events)")
+@query("SELECT event_id, list_has_any(list_transform(json_keys(m), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g')), ['workspaceroot', 'workspacepath', 'artifactroot', 'artifactpath', 'skillpackid', 'baseagentprofileid']) AS reserved FROM (SELECT event_id, '{\"' || CASE event_id % 4 WHEN 0 THEN 'Workspace-Root' WHEN 1 THEN 'note' WHEN 2 THEN 'ARTIFACT path' ELSE 'rooted' END || '\":\"1\"}' AS m FROM events)")
 def reserved_metadata(spark, d):
-    name = F.element_at(F.array(*map(F.lit, ("Workspace-Root", "note", "ROOT", "rooted"))), (F.col("event_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("Workspace-Root", "note", "ARTIFACT path", "rooted"))), (F.col("event_id") % 4 + 1).cast("int"))
     return c.table(spark, d, "events").select("event_id", cases.reserved_keys(F.concat(F.lit('{"'), name, F.lit('":"1"}'))).alias("reserved"))
 
 

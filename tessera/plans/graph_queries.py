@@ -69,8 +69,8 @@ def graph_paths_2hop(spark, d):
 
 @query(
     """WITH g AS (SELECT s_suppkey AS id, s_suppkey % 9 <> 0 AS enabled, CASE WHEN s_suppkey % 8 <> 0 THEN s_suppkey % 6 END AS ev, s_suppkey % 5 AS h, s_suppkey % 11 AS safety, (s_suppkey % 10) / 100 AS improvement FROM supplier)
-    SELECT id, reason, reason = 'passed' AS opened FROM (SELECT id, CASE WHEN NOT enabled THEN 'disabled' WHEN ev IS NULL THEN 'missing_evaluation' WHEN ev = 0 THEN 'evaluation_id_mismatch' WHEN h = 0 THEN 'content_hash_mismatch'
-      WHEN id % 13 = 0 THEN 'metric_mismatch' WHEN safety = 1 THEN 'safety_violation' WHEN improvement + 1e-12 < 0.03 THEN 'below_threshold' ELSE 'passed' END AS reason FROM g)"""
+    SELECT id, reason, reason = 'gate_passed' AS opened FROM (SELECT id, CASE WHEN NOT enabled THEN 'config_disabled' WHEN ev IS NULL THEN 'evaluation_missing' WHEN ev = 0 THEN 'evaluation_identity_mismatch' WHEN h = 0 THEN 'evaluation_hash_mismatch'
+      WHEN id % 13 = 0 THEN 'metric_mismatch' WHEN safety = 1 THEN 'safety_regression' WHEN improvement + 1e-12 < 0.03 THEN 'improvement_below_threshold' ELSE 'gate_passed' END AS reason FROM g)"""
 )
 def graph_gate(spark, d):
     k = F.col("s_suppkey")

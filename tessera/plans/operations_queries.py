@@ -234,10 +234,21 @@ def case_inbox(spark, d):
     return cases.withColumn("n", F.row_number().over(Window.partitionBy("tenant_id").orderBy(F.desc("updated_at"), "case_id"))).where("n <= 50").drop("n")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'deny' WHEN event_type = 'purchase' THEN 'approval' ELSE 'allow' END AS decision, event_type = 'error' AND value > 50 AS safety FROM events")
+_RISKS = ("read", "write", "external", "compute")
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') OR event_id % 11 = 0 OR (event_id % 2 = 0 AND event_id % 3 = 0) THEN 'deny' WHEN event_id % 13 = 0 OR {list(_RISKS)}[user_id % 4 + 1] IN ('write', 'external', 'destructive') THEN 'approval' ELSE 'allow' END AS decision,
+    event_id % 5 = 0 AND coalesce(CASE event_id % 4 WHEN 0 THEN 'policy_denied' WHEN 1 THEN 'timeout' WHEN 2 THEN 'tool_not_allowed' END, '') IN {ops.SAFETY_ERRORS} AS safety FROM events"""
+)
 def capability_decision(spark, d):
-    e = F.col("event_type")
-    return c.table(spark, d, "events").select("event_id", F.when(e == "error", "deny").when(e == "purchase", "approval").otherwise("allow").alias("decision"), ((e == "error") & (F.col("value") > 50)).alias("safety"))
+    k = F.col("event_id")
+    requests = c.table(spark, d, "events").select(
+        k, F.array(*map(F.lit, ("click", "view", "purchase"))).alias("allowed_tools"), F.col("event_type").alias("tool"), (k % 11 != 0).alias("registered"), (k % 2 == 0).alias("side_effecting"),
+        F.when(k % 3 != 0, k.cast("string")).alias("idempotency_key"), (k % 13 == 0).alias("requires_approval"), F.element_at(F.array(*map(F.lit, _RISKS)), (F.col("user_id") % 4 + 1).cast("int")).alias("risk"),
+    )
+    error = F.when(k % 4 == 0, "policy_denied").when(k % 4 == 1, "timeout").when(k % 4 == 2, "tool_not_allowed")
+    return ops.capability(requests).select("event_id", "decision", ops.safety_violation(k % 5 != 0, error).alias("safety"))
 
 
 @query("WITH v AS (SELECT user_id % 50 AS kind, event_type AS provider, event_id, ts FROM events) SELECT kind, provider, arg_max(event_id, ts) AS event_id, max(ts) AS produced_at FROM v GROUP BY ALL")

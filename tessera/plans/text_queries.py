@@ -55,16 +55,30 @@ def paragraph_chunks(spark, d):
     return _docs(spark, d).select("document_id", F.posexplode(chunks).alias("idx", "text"))
 
 
+#: The level of a heading line.
+_HEAD = r"""CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^(?:\d+(?:\.\d+){0,5}|[一二三四五六七八九十]+)[.、：:\s]+\S') AND length(line) <= 160 THEN CASE WHEN regexp_extract(line, '^(\d+(?:\.\d+)*)', 1) = '' THEN 1 ELSE least(6, len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)', 1), '.'))) END WHEN length(line) BETWEEN 1 AND 100 AND regexp_matches(line, '\p{L}') AND line = upper(line) AND NOT contains(line, 'ß') AND NOT regexp_matches(line, '[。！？.!?；;]$') THEN 1 END"""
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
-    h AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') OR regexp_matches(line, '^\d+(\.\d+){0,5}\.?\s+\S') OR (length(line) <= 80 AND regexp_matches(line, '[A-Z]') AND line = upper(line) AND regexp_matches(line, '[A-Za-z]{2}')) THEN 1 ELSE 0 END AS is_head FROM l),
+    h AS (SELECT *, ((_HEAD_) IS NOT NULL)::INT AS is_head FROM l),
     s AS (SELECT *, sum(is_head) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM h)
-    SELECT doc_id AS document_id, section::BIGINT AS section, min(n)::INT AS first_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY ALL"""
+    SELECT doc_id AS document_id, section::BIGINT AS section, min(n)::INT AS first_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY ALL""".replace("_HEAD_", _HEAD)
 )
 def heading_groups(spark, d):
     return chunking.sections(_docs(spark, d))
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t]+', ' ', 'g')) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents), h AS (SELECT *, _HEAD_ AS level FROM l),
+    o AS (SELECT *, level IS NOT NULL OR lag(line = '' OR level IS NOT NULL OR regexp_matches(line, '[。！？.!?；;]$'), 1, true) OVER (PARTITION BY doc_id ORDER BY n) AS opens FROM h),
+    g AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM o)
+    SELECT doc_id AS document_id, block::BIGINT AS block, min(n)::INT AS first_line, max(level)::INT AS level, md5(string_agg(line, ' ' ORDER BY n)) AS text_md5 FROM g WHERE line <> '' GROUP BY ALL""".replace("_HEAD_", _HEAD)
+)
+def page_groups(spark, d):
+    return chunking.page_groups(_docs(spark, d)).withColumn("text_md5", F.md5("text")).drop("text")
+
+
 @query(r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents) SELECT doc_id AS document_id, n::INT AS line_no, line[:500] AS line FROM l WHERE regexp_matches(line, '(?i)licen[cs]ed? under')")
 def grep_lines(spark, d):
     return chunking.grep(_docs(spark, d), r"licen[cs]ed? under", ignore_case=True)
