@@ -121,12 +121,14 @@ def rrf(ranked: DataFrame, k: int = 60, limit: int = 10, weights: dict[str, floa
     return top(fused, limit)
 
 
-def neighbours(seeds: DataFrame, links: DataFrame, window: int = 1, decay: float = 0.75) -> DataFrame:
+def neighbours(seeds: DataFrame, links: DataFrame, window: int = 1, decay: float = 0.75, breadth_first: bool = False, most: int | None = None) -> DataFrame:
     """Seeds (query_id, chunk_id, score, rank) and the chunks up to ``window`` links before and after them.
 
     ``links`` has chunk_id, previous_id, next_id, document_id. A walk stops where a link leaves the document. Seeds come
-    first; then per seed all chunks before it and all after it; a chunk met twice keeps its first place.
+    first; then per seed all chunks before it and all after it, or breadth first: all seeds' nearest chunks, then the next.
+    A chunk met twice keeps its first place; ``most`` cuts a query's list (the expansion budget).
     """
+    place = lambda side, distance: F.array(F.lit(1), F.lit(distance), "rank", F.lit(side)) if breadth_first else F.array(F.lit(1), "rank", F.lit(side), F.lit(distance))
     found = seeds.select("query_id", "chunk_id", "score", F.array(F.lit(0), "rank", F.lit(0), F.lit(0)).alias("place"))
     at = links.select(F.col("chunk_id").alias("from_id"), "document_id", "previous_id", "next_id")
     home = links.select(F.col("chunk_id").alias("to_id"), F.col("document_id").alias("to_document"))
@@ -137,11 +139,13 @@ def neighbours(seeds: DataFrame, links: DataFrame, window: int = 1, decay: float
             step = step.join(home, "to_id").where("document_id = to_document")
             walk = step.select("query_id", "rank", "score", F.col("to_id").alias("here"))
             found = found.unionByName(
-                walk.select("query_id", F.col("here").alias("chunk_id"), (F.col("score") * decay**distance).alias("score"), F.array(F.lit(1), "rank", F.lit(side), F.lit(distance)).alias("place"))
+                walk.select("query_id", F.col("here").alias("chunk_id"), (F.col("score") * decay**distance).alias("score"), place(side, distance).alias("place"))
             )
     first = Window.partitionBy("query_id", "chunk_id").orderBy("place")
     kept = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).withColumn("score", F.round("score", DIGITS)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
+    kept = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
+    kept = kept if most is None else kept.where(F.col("position") <= most)
+    return kept.withColumn("score", F.round("score", DIGITS)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
 
 
 def feedback_terms(hits: DataFrame, docs: DataFrame, terms: DataFrame, n: int = 6) -> DataFrame:

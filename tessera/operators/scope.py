@@ -99,3 +99,16 @@ def visible_to_many(principals: DataFrame, chunks: DataFrame) -> DataFrame:
     held = principals.select("principal_id", "tenant_id", F.explode("acl_tokens").alias("token"))
     granted = chunks.select("chunk_id", "tenant_id", F.explode("acl").alias("token"))
     return held.join(granted, ["tenant_id", "token"]).select("principal_id", "chunk_id").distinct()
+
+
+def attested(hits: DataFrame, catalog: DataFrame, key: str = "chunk_id", payload: str = "payload") -> DataFrame:
+    """Hits that differ from the catalogue, are not in it, or come twice for a query: an authoritative search must find none."""
+    held = catalog.select(key, F.sha2(payload, 256).alias("held_hash"))
+    seen = hits.groupBy("query_id", key).agg(F.count(F.lit(1)).alias("n"), F.max(F.sha2(payload, 256)).alias("hash"))
+    fault = F.when(F.col("held_hash").isNull(), "unknown").when(F.col("held_hash") != F.col("hash"), "changed").when(F.col("n") > 1, "repeated")
+    return seen.join(held, key, "left").withColumn("fault", fault).where("fault IS NOT NULL").select("query_id", key, "fault")
+
+
+def guarded(hits: DataFrame, allowed) -> DataFrame:
+    """Hits as they are; a row outside the scope ends the query instead of being returned."""
+    return hits.where(F.when(allowed, F.lit(True)).otherwise(F.raise_error(F.lit("a backend returned a row outside the scope")).cast("boolean")))

@@ -208,3 +208,20 @@ def stream_windows(spark, d):
     """Closed windows only: append mode gives a day once the watermark, a day behind the newest event, has passed its end."""
     out = _drained(spark, d, lambda e: streams.rolling_metrics(e))
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS version, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM events")
+def checkpoint_versions(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("run_id")
+    e = c.table(spark, d, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts")
+    return e.select("run_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("version"), (F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) == 1).alias("is_latest"))
+
+
+@query("SELECT o_orderkey || ':' || k AS chunk_id, 'user:' || o_custkey AS acl, 'case-' || o_orderkey AS kb, ('Evidence ' || k || ' of order ' || o_orderkey || ': ' || o_orderpriority)[:40] AS text FROM orders, range(1, 3) x(k) WHERE o_orderkey % 2 = 0")
+def evidence_chunks(spark, d):
+    """Evidence references of a case as private chunks of a knowledge base of its own."""
+    o = c.table(spark, d, "orders").where("o_orderkey % 2 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    text = F.concat(F.lit("Evidence "), "k", F.lit(" of order "), "o_orderkey", F.lit(": "), "o_orderpriority")
+    return o.select(F.concat("o_orderkey", F.lit(":"), "k").alias("chunk_id"), F.concat(F.lit("user:"), "o_custkey").alias("acl"), F.concat(F.lit("case-"), "o_orderkey").alias("kb"), F.substring(text, 1, 40).alias("text"))

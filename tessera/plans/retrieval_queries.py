@@ -276,3 +276,34 @@ def adaptive_budget(spark, d):
 @query("SELECT vec_id, round(greatest(0, least(1, x)), 6) AS score FROM (SELECT vec_id, embedding[1]::DOUBLE * 3 AS x FROM embeddings)")
 def bounded_score(spark, d):
     return c.table(spark, d, "embeddings").select("vec_id", F.round(scores.bounded(F.col("embedding")[0].cast("double") * 3), 6).alias("score"))
+
+
+@query(
+    f"""WITH {_PASSAGE_HITS}, seeds AS (SELECT query_id, chunk_id, score, rank FROM hits WHERE rank <= 3),
+    f AS (SELECT query_id, chunk_id, score, 0 AS kind, 0 AS dist, rank, 0 AS side FROM seeds
+      UNION ALL SELECT s.query_id, n.chunk_id, s.score * pow(0.75, abs(n.idx - p.idx)), 1, abs(n.idx - p.idx), s.rank, CASE WHEN n.idx < p.idx THEN 1 ELSE 2 END FROM seeds s JOIN passages p USING (chunk_id) JOIN passages n ON n.document_id = p.document_id AND abs(n.idx - p.idx) BETWEEN 1 AND 2),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY kind, CASE WHEN kind = 0 THEN rank ELSE dist END, rank, side) AS n FROM f) WHERE n = 1),
+    q AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY kind, CASE WHEN kind = 0 THEN rank ELSE dist END, rank, side)::INT AS position, kind = 0 AS is_seed FROM k) SELECT * FROM q WHERE position <= 7"""
+)
+def neighbors_breadth_first(spark, d):
+    p = passage_docs(spark, d)
+    seeds = r.bm25(r.documents_of(p), r.query_terms(c.queries(spark, d)), 3)
+    return r.neighbours(seeds, p, 2, breadth_first=True, most=7)
+
+
+@query(f"WITH {sql.GOVERNED} SELECT query_id, chunk_id, CASE WHEN chunk_id % 10 = 9 THEN 'unknown' ELSE 'changed' END AS fault FROM hits WHERE rank <= 10 AND (chunk_id % 10 = 9 OR chunk_id % 10 = 4)")
+def catalog_attestation(spark, d):
+    docs, terms, _ = governed(spark, d)
+    texts = c.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("payload"))
+    returned = texts.withColumn("payload", F.when(F.col("chunk_id") % 10 == 4, "other").otherwise(F.col("payload")))
+    hits = r.bm25(docs, terms, 10).select("query_id", "chunk_id").join(returned, "chunk_id")
+    return scope.attested(hits, texts.where("chunk_id % 10 != 9"))
+
+
+@query(f"WITH {sql.GOVERNED} SELECT query_id, rank::INT AS rank, chunk_id::VARCHAR AS chunk_id, round_even(score, 4) AS score, md5(text[:2000]) AS text_md5 FROM hits JOIN scoped USING (chunk_id) WHERE rank <= 5")
+def tool_hits(spark, d):
+    """Search hits as a tool returns them: text cut to 2,000 characters, score rounded half to even."""
+    docs, terms, _ = governed(spark, d)
+    seen = scope.scoped(c.chunks(spark, d), c.PRINCIPAL, c.NOW)
+    hits = r.bm25(docs, terms, 5).join(seen.select("chunk_id", "text", "tenant_id", "acl"), "chunk_id")
+    return scope.guarded(hits, scope.visible(c.PRINCIPAL)).select("query_id", "rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.bround("score", 4).alias("score"), F.md5(F.substring("text", 1, 2000)).alias("text_md5"))
