@@ -6,9 +6,11 @@ earliest dart. A text stops throwing when all coordinates have one, so the cost
 coordinates times shingles. Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Bands of coordinates are buckets. Copies (equal words) are one node. In a bucket every node is checked against the
-bucket's least node; what that leaves in different classes is checked pair by pair in buckets of a few nodes, and dealt
-into finer buckets (two bands at once, then three) in all others. So candidates grow with the nodes of a bucket, never with their pairs,
-no bucket is capped, and two similar texts miss each other only if strangers crowd every bucket that they share.
+bucket's least node. Where that leaves two classes in a bucket, all its pairs across classes are checked exactly: pair by
+pair in buckets of a few nodes, and block against block in all others. A block holds a bounded part of a bucket, and a
+pair of blocks is one group of rows, in which a node that the others' shingles do not cover well enough is left out and
+overlaps of the rest are matrix products. So rows grow with a bucket's nodes times its blocks outside the largest class;
+no bucket is capped, and two similar texts miss each other only if they share no band.
 A link is a pair whose shingle sets have a Jaccard similarity of at least the threshold; classes are its components.
 
 Defined results: a null text is empty; texts of one to four words have one shingle, their words; texts without
@@ -35,12 +37,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 42
 ROWS = 6
-#: Buckets of up to so many nodes are checked pair by pair; larger ones are dealt into finer buckets.
+#: Mixed buckets of up to so many nodes are checked pair by pair; larger ones block against block.
 FEW = 4
-#: How often buckets are refined, and which later bands refine a bucket each time. A pair at the threshold shares about
-#: eleven bands; that none of those shares any of three others has a probability of 0.00005.
-DEPTH = 3
-FINER = ((1, 2, 3), (5, 11, 17), (7, 13, 23))
+#: What a block of a bucket holds: its shingles, and so many more for each node.
+BLOCK = 1 << 20
+NODE = 256
+#: Nodes and shingles of one matrix product.
+TILE, COLUMNS = 256, 8192
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -132,6 +135,68 @@ def band_buckets(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) ->
     return h
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], n: int) -> np.ndarray:
+    """How many elements (numbers under ``n``) each set of ``a`` shares with each set of ``b``."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    seen, place = np.zeros(n, bool), np.full(n, -1)
+    seen[flat_a] = True
+    common = np.unique(flat_b[seen[flat_b]])
+    place[common] = np.arange(len(common))
+    sides = []
+    for sets, flat in ((a, flat_a), (b, flat_b)):
+        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), place[flat]
+        row, column = row[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], column[order]))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, len(common), COLUMNS):
+        width, dense = min(COLUMNS, len(common) - start), []
+        for (row, column), size in zip(sides, out.shape, strict=True):
+            x, y = np.searchsorted(column, (start, start + width))
+            dense.append(np.zeros((size, width), np.float32))
+            dense[-1][row[x:y], column[x:y] - start] = 1
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def block_links(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of one pair of blocks, from exact checks of all pairs between side 0 and side 1 (within side 0, if there is no other).
+
+    Every pair of different labels whose similarity reaches ``threshold`` ends in one class by these links; no more of them than classes are given.
+    """
+    alone = not sides.any()
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own, n = np.repeat(np.arange(len(sets)), size), int(flat.max(initial=-1)) + 1
+    alive = size > 0
+    while True:  # a node has partners only if the nodes it is compared with hold enough of its shingles
+        held = alive[own]
+        counts = [np.bincount(flat[held & (sides[own] == side)], minlength=n) for side in (0, 1)]
+        useful = counts[0][flat] > 1 if alone else np.where(sides[own] == 0, counts[1][flat], counts[0][flat]) > 0
+        covered = np.bincount(own[useful & held], minlength=len(sets))
+        kept = alive & (covered >= threshold * size - 1e-9)
+        if (kept == alive).all():
+            break
+        alive = kept
+    starts = np.cumsum(size) - size
+    ids = lambda rows: [flat[starts[i] : starts[i] + size[i]] for i in rows]
+    order = np.flatnonzero(alive)[np.argsort(size[alive], kind="stable")]
+    tiles = [[rows[k : k + TILE] for k in range(0, len(rows), TILE)] for rows in (order[sides[order] == 0], order[sides[order] == (0 if alone else 1)])]
+    classes, links = np.unique(labels, return_inverse=True)[1], []
+    for at, x in enumerate(tiles[0]):
+        for y in tiles[1][at:] if alone else tiles[1]:
+            if min(size[x[-1]], size[y[-1]]) < threshold * max(size[x[0]], size[y[0]]) - 1e-9 or not (classes[x][:, None] != classes[y]).any():
+                continue
+            both = _overlaps(ids(x), ids(y), n)
+            near = both >= threshold * (size[x][:, None] + size[y] - both) - 1e-9
+            for i, row in zip(x, near, strict=True):
+                for j in y[row & (classes[y] != classes[i])]:
+                    if classes[i] != classes[j]:
+                        links.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+                        classes[classes == classes[j]] = classes[i]
+    return links
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -228,43 +293,51 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     links = check(tried, "links-lead")
     labels = components(links, ws, "lead")
 
-    # Buckets that still hold two classes. Of a few nodes: all pairs across classes. Else the nodes outside the leading class
-    # meet its last node and their own first one, and are dealt into finer buckets, where the same is done again.
-    level = held.select("node", "bucket", "band")
-    for depth in range(DEPTH):
-        classed = ws.stage(level.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label")), f"classed-{depth}")
-        facts = classed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct((-F.col("label")).alias("less"), "node")).alias("tail"), F.count(F.lit(1)).alias("n"))
-        mixed = ws.stage(facts.where("lo < hi" if depth else "lo < hi AND n > 2").select("bucket", "lo", F.col("tail.node").alias("tail"), "n"), f"mixed-{depth}")
-        if not mixed.limit(1).count():
-            break
-        few = ws.stage(classed.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("held")), f"few-{depth}")
-        pair = lambda i, j: F.when((F.size("held") > j) & (F.get("held", F.lit(i))["label"] != F.get("held", F.lit(j))["label"]), F.struct(F.get("held", F.lit(i))["node"].alias("a"), F.get("held", F.lit(j))["node"].alias("b")))
-        cross = few.select(F.inline(F.array_compact(F.array(*(pair(i, j) for i, j in itertools.combinations(range(FEW), 2))))))
-        outside = ws.stage(classed.join(mixed.where(F.col("n") > FEW).select("bucket", "lo", "tail"), "bucket").where("label != lo").select("bucket", "band", "node", "tail"), f"outside-{depth}")
-        heads = ws.stage(outside.groupBy("bucket").agg(F.min("node").alias("head")), f"heads-{depth}")
-        ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        stars = outside.join(heads, "bucket").where("node != head").select(*ordered("head", "node")).unionByName(outside.select(*ordered("tail", "node")))
-        fresh = ws.stage(cross.unionByName(stars).distinct().join(tried, ["a", "b"], "left_anti"), f"pairs-{depth}")
-        more = check(fresh, f"links-{depth}")
-        tried = ws.stage(tried.unionByName(fresh), f"tried-{depth}")
-        links = ws.stage(links.unionByName(more), f"all-links-{depth}")
-        if more.limit(1).count():
-            labels = components(links, ws, f"depth-{depth}")
-        if not outside.limit(1).count():
-            break
-
-        def finer(batches: Iterator[pa.RecordBatch], steps=FINER[depth]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    bands = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, BANDS)
-                    own, band = batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(np.int64)
-                    for step in steps:
-                        other = (band + step) % BANDS
-                        bucket = mix(own + mix(bands[np.arange(len(own)), other])).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bucket), pa.array(other.astype(np.int8))], names=["node", "bucket", "band"])
-
-        dealt_again = outside.join(nodes.select("node", "bands"), "node").select("node", "bucket", "band", "bands").mapInArrow(finer, "node long, bucket long, band byte")
-        level = ws.stage(dealt_again, f"finer-{depth}")
+    # Buckets that still hold two classes: all pairs across classes, of a few nodes as rows, of more nodes in pairs of blocks.
+    classed = ws.stage(held.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "classed")
+    by_class = classed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("same"))
+    facts = by_class.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("n"), F.bit_xor("same").alias("same"))
+    # Buckets of the same nodes are one; of two nodes, the pair is tried.
+    mixed = ws.stage(facts.where("lo < hi AND n > 2").groupBy("same", "n").agg(F.min(F.struct("bucket", "main")).alias("one")).select("one.*", "n"), "mixed")
+    few = ws.stage(classed.join(mixed.where(F.col("n") <= FEW).select("bucket"), "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("held")), "few")
+    pair = lambda i, j: F.when((F.size("held") > j) & (F.get("held", F.lit(i))["label"] != F.get("held", F.lit(j))["label"]), F.struct(F.get("held", F.lit(i))["node"].alias("a"), F.get("held", F.lit(j))["node"].alias("b")))
+    cross = few.select(F.inline(F.array_compact(F.array(*(pair(i, j) for i, j in itertools.combinations(range(FEW), 2))))))
+    more = check(ws.stage(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs-few"), "links-few")
+
+    crowd = classed.join(mixed.where(F.col("n") > FEW).select("bucket", "main"), "bucket").select("bucket", "node", "label", (F.col("label") != F.col("main")).alias("outer"))
+    weights = elements.select("node", (F.octet_length("elements") / 4 + NODE).alias("weight"))
+    crowd = ws.stage(crowd.join(weights, "node"), "crowd")
+    blocks = lambda outer: F.ceil(F.sum(F.when(F.col("outer") == outer, F.col("weight"))) / BLOCK).cast("int")
+    cut = crowd.groupBy("bucket").agg(blocks(True).alias("outs"), blocks(False).alias("ins"))
+    # Blocks 0 to outs - 1 have the nodes outside the largest class; the next ones have that class and are not compared with each other.
+    own = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("node"), F.col("ins"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("outs") + F.when(F.col("outer"), F.col("ins")).otherwise(0) - 1)
+    met = crowd.join(cut, "bucket").withColumn("own", own).withColumn("other", F.explode(others))
+    met = ws.stage(met.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "label"), "met")
+
+    def join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(rows: list[tuple]) -> pa.RecordBatch:
+            found = block_links(*(np.array([r[k] for r in rows], np.int64) for k in range(3)), [r[3] for r in rows], threshold)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+        last, rows = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for bucket, x, y, side, node, label, raw in zip(*columns, batch.column(6), strict=True):
+                if (bucket, x, y) != last:
+                    if rows:
+                        yield links_of(rows)
+                    last, rows = (bucket, x, y), []
+                rows.append((node, label, side, np.frombuffer(raw.as_buffer(), np.uint32).copy()))
+        if rows:
+            yield links_of(rows)
+
+    key = ["bucket", "x", "y"]
+    grouped = met.join(elements, "node").select(*key, "side", "node", "label", "elements").repartition(*key).sortWithinPartitions(*key)
+    more = ws.stage(more.unionByName(ws.stage(grouped.mapInArrow(join_blocks, "a long, b long"), "links-blocks")).distinct(), "links-mixed")
+    links = ws.stage(links.unionByName(more), "all-links")
+    if more.limit(1).count():
+        labels = components(links, ws, "all")
 
     # Classes of nodes, then of rows; facts of a class travel in parts, as one class may hold a third of all rows.
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

@@ -286,6 +286,39 @@ def test_near_duplicates_in_a_crowded_bucket(spark):
     assert {r.class_id for r in got if r.doc_id < 1000} == {0} and all(r.class_id == r.doc_id for r in got if r.doc_id >= 1000)
 
 
+def graded(seed, n, kept):
+    """Edits of one text, each of which replaces another share of its words."""
+    r, words = random.Random(seed), prose(seed, 240).split()
+    out = []
+    for i in range(n):
+        share = (1 - r.uniform(*kept)) / 5
+        out.append(" ".join(f"e{i}x{k}" if r.random() < share else w for k, w in enumerate(words)))
+    return out
+
+
+def classes_by_force(some):
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in map(str.split, some)]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j]:
+                both = len(a & sets[j])
+                if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                    lo, hi = sorted((label[i], label[j]))
+                    label = [lo if x == hi else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("kept", [(0.90, 0.95), (0.87, 0.96), (0.80, 0.95)])
+def test_near_duplicates_of_graded_edits(spark, kept):
+    """Members of one class that are near to other members only, not to the least one."""
+    from tessera.llm.near_dedup import near_duplicates
+
+    some = graded(60, 400, kept)
+    got = near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes_by_force(some)
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     from tessera.llm.near_dedup import DartMinHash
 
