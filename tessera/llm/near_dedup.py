@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept (one row a class), n_copies, n_links.
 
     ``counted`` weighs a shingle by how often it occurs (weighted Jaccard) instead of once (Jaccard of sets).
-    n_links counts the links that were found for the row's text; the copies of a text are not links.
+    n_links counts the links that were found for the row's text; the copies of a text are not links, and pairs of blocks
+    give the links that join classes only.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near-dedup")

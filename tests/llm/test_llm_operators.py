@@ -319,6 +319,16 @@ def test_near_duplicates_of_graded_edits(spark, kept):
     assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes_by_force(some)
 
 
+def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch):
+    """A bucket is searched to its end, however many blocks it has."""
+    from tessera.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 10_000)  # about twenty nodes
+    some = graded(61, 500, (0.89, 0.95))
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes_by_force(some)
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     from tessera.llm.near_dedup import DartMinHash
 
