@@ -1,10 +1,12 @@
 """URL filters: a list of host-and-path rules, and a path-template tree for what no rule decides.
 
 Rules come first: the longest that fits wins. Pages that a rule decides are the labelled examples of the tree.
-Per host, paths become templates: segments with digits, hex or many values are wildcards. A host's templates are
-counted by executors, pre-aggregated per template (a host may hold a third of all pages), and only per-template counts are
-shuffled. Sibling branches are merged where a two-proportion test cannot tell their purity apart, towards the parent pattern, and a
-template's purity is smoothed towards the pattern's, so a few labels decide nothing on their own.
+Per host, paths become templates, level by level from the root: segments with digits, hex or many values are wildcards. A host's
+templates are counted by executors, pre-aggregated per template (a host may hold a third of all pages), and only per-template counts are
+shuffled. Every prefix of a template is a branch, of its host and, as a pattern, of all hosts of the suffix. A branch's parent is its pattern
+if that has labels, else the branch above it. A branch that a two-proportion test cannot tell from the rest of its parent's labels is merged:
+it has the parent's purity, so one without labels has that of the next branch with some. Any other has its own, smoothed towards the parent's.
+A suffix is smoothed towards none blocked, so a few labels decide nothing on their own.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and is allowed; an empty table gives an
 empty result; repeated rows are judged alike; other columns are ignored.
@@ -14,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, group_facts
 
 #: Fixed values: (rule, verdict).
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -27,7 +29,7 @@ SMOOTHING = 8.0
 REJECT_OVER = 0.5
 #: Distinct values under one parent from which a segment counts as variable, if no value is common.
 VARIABLE_FROM = 16
-#: Siblings whose purity differs by fewer standard errors are one branch.
+#: A branch whose purity differs from its siblings' by fewer standard errors is merged with them.
 MERGE_Z = 1.96
 
 
@@ -56,6 +58,15 @@ def shape_of(segment: Column) -> Column:
     return F.when(segment.rlike(r"[0-9]"), "*").when(segment.rlike(r"^[0-9a-fA-F-]{16,}$"), "*").when(F.length(segment) > 40, "*").otherwise(segment)
 
 
+def _smoothed(n: Column, blocked: Column, of_n: Column, of_blocked: Column, purity: Column) -> Column:
+    """The purity of a branch with ``n`` labels below a parent with ``of_n`` (its own among them) and the given purity."""
+    rest, share = of_n - n, F.try_divide(of_blocked, of_n)
+    error = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), rest)))
+    alike = F.abs(F.try_divide(blocked, n) - F.try_divide(of_blocked - blocked, rest)) <= MERGE_Z * error
+    merged = (n == 0) | ((of_n > 0) & ((rest <= 0) | alike))
+    return F.when(merged, purity).otherwise((blocked + SMOOTHING * purity) / (n + SMOOTHING))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", labels: DataFrame | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, and its labels and smoothed purity.
 
@@ -71,27 +82,39 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: st
     shaped = shaped.withColumn("label", F.coalesce("ruled", "says"))
     rows = ws.stage(shaped, "rows")
 
-    # The tree, as (host, parent, leaf) counts: one row per template, whatever the number of pages.
+    # The tree, as (host, shape) counts: one row per template, whatever the number of pages.
     leaves = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.count("label").alias("labelled"), F.count_if(F.col("label") == "block").alias("blocked"))
-    leaves = leaves.withColumns({"parent": F.regexp_replace("shape", "/[^/]*$", ""), "leaf": F.regexp_extract("shape", "([^/]*)$", 1)})
-    # A parent with many children, none of them common, has a variable last segment.
-    below = leaves.groupBy("host", "parent").agg(F.countDistinct("leaf").alias("children"), F.max("pages").alias("largest"), F.sum("pages").alias("all_pages"))
-    variable = (F.col("children") >= VARIABLE_FROM) & (F.col("largest") * VARIABLE_FROM < F.col("all_pages") * 2)
-    tree = ws.stage(
-        leaves.join(below, ["host", "parent"]).select("host", "shape", "pages", "labelled", "blocked", F.when(variable, F.concat("parent", F.lit("/*"))).otherwise(F.col("shape")).alias("template")), "tree"
-    )
-    by_template = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")))
-    # The same pattern on other hosts of the suffix is the parent branch.
-    suffix = F.substring_index("host", ".", -1)
-    branch = by_template.groupBy(suffix.alias("suffix"), "template").agg(F.sum("labelled").alias("branch_labelled"), F.sum("blocked").alias("branch_blocked"))
-    known = by_template.withColumn("suffix", suffix).join(branch, ["suffix", "template"])
-    prior = (F.col("branch_blocked") + 1) / (F.col("branch_labelled") + 2)
-    own = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
-    error = F.sqrt(prior * (1 - prior) / F.greatest(F.col("labelled"), F.lit(1)))
-    merged = F.abs(own - prior) <= MERGE_Z * error  # not told apart from its branch: judged with it
-    unseen = F.col("branch_labelled") == 0
-    purity = F.when(unseen, F.lit(0.0)).when(merged | (F.col("labelled") == 0), prior).otherwise((F.col("blocked") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING))
-    judged = known.select("host", "template", "labelled", purity.alias("blocked_share"))
+    tree = ws.stage(leaves.withColumn("branch", F.filter(F.split("shape", "/"), lambda s: s != "")), "tree")
+    # A level can have a variable segment if a host has enough shapes that deep; deeper levels need no look.
+    deep = tree.groupBy("host", F.size("branch").alias("depth")).agg(F.count(F.lit(1)).alias("shapes"))
+    deep = deep.withColumn("shapes", F.sum("shapes").over(Window.partitionBy("host").orderBy(F.desc("depth"))))
+    for level in range(deep.where(F.col("shapes") >= VARIABLE_FROM).agg(F.max("depth")).first()[0] or 0):
+        # A parent with many children, none of them common, has a variable next segment.
+        at = tree.withColumns({"parent": F.array_join(F.slice("branch", 1, level), "/"), "next": F.get("branch", F.lit(level))})
+        children = at.where("next IS NOT NULL").groupBy("host", "parent", "next").agg(F.sum("pages").alias("pages"))
+        below = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("children"), F.max("pages").alias("largest"), F.sum("pages").alias("all_pages"))
+        variable = below.where((F.col("children") >= VARIABLE_FROM) & (F.col("largest") * VARIABLE_FROM < F.col("all_pages") * 2)).select("host", "parent", F.lit(True).alias("variable"))
+        merged = F.when(F.col("variable"), F.concat(F.slice("branch", 1, level), F.array(F.lit("*")), F.slice("branch", level + 2, F.size("branch")))).otherwise(F.col("branch"))
+        tree = ws.stage(at.join(variable, ["host", "parent"], "left").select("host", "shape", "pages", "labelled", "blocked", merged.alias("branch")), f"tree-{level}")
+    tree = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("branch", "/")))
+    by_template = tree.groupBy("host", "template", "branch").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
+    # Every prefix of a template, with the labels below it on its host and on all hosts of the suffix.
+    depths = by_template.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("branch"))))
+    prefixes = ws.stage(depths.select(F.substring_index("host", ".", -1).alias("suffix"), "host", "template", "depth", F.array_join(F.expr("slice(branch, 1, depth)"), "/").alias("prefix"), "labelled", "blocked"), "prefixes")
+    total = lambda to: [(f"{to}_{c}", F.sum(c), F.sum(f"{to}_{c}")) for c in ("labelled", "blocked")]
+    on_host = ws.stage(group_facts(prefixes, ["host", "prefix"], ["template"], total("host")), "on-host")
+    known = group_facts(on_host, ["suffix", "prefix"], ["host", "template"], total("suffix"))
+    known = known.withColumn("node", F.struct("depth", *(F.col(f"{w}_{c}").cast("double").alias(f"{w}_{c}") for w in ("host", "suffix") for c in ("labelled", "blocked"))))
+    chains = known.groupBy("host", "template").agg(F.array_sort(F.collect_list("node")).alias("chain"), F.first("labelled").alias("labelled"))
+
+    def down(above: Column, node: Column) -> Column:
+        s, h = (node["suffix_labelled"], node["suffix_blocked"]), (node["host_labelled"], node["host_blocked"])
+        pattern = _smoothed(*s, above["sn"], above["sb"], above["sp"])
+        of = [F.when(s[0] > 0, x).otherwise(above[y]) for x, y in ((s[0], "hn"), (s[1], "hb"), (pattern, "hp"))]
+        return F.struct(s[0].alias("sn"), s[1].alias("sb"), pattern.alias("sp"), h[0].alias("hn"), h[1].alias("hb"), _smoothed(*h, *of).alias("hp"))
+
+    none = F.struct(*(F.lit(0.0).alias(c) for c in ("sn", "sb", "sp", "hn", "hb", "hp")))
+    judged = chains.select("host", "template", "labelled", F.aggregate("chain", none, down)["hp"].alias("blocked_share"))
     facts = tree.select("host", "shape", "template").join(judged, ["host", "template"])
     # Back to pages in (host, shape, salt) parts: a hot host is spread.
     salt = F.pmod(F.xxhash64("row_tag"), F.lit(1024)).cast("int")

@@ -254,6 +254,24 @@ def test_url_filter(spark):
     assert all(r.verdict == "block" and r.template == "/win/*" for r in learned)
 
 
+def test_url_filter_judges_branches_without_labels(spark):
+    """Labels reach unlabelled siblings and generalised middle segments; branches that differ keep their own purity."""
+    from tessera.llm.url_filter import judge
+
+    name = lambda i: "".join(chr(97 + int(x)) for x in str(1000 + i))
+    urls = [f"http://spam.io/user/{name(i)}/x" for i in range(60)] + ["http://spam.io/about/us"] + [f"http://spam.io/good/{i}" for i in range(40)] + ["http://new.io/user/zed/x", "http://a.dev/user/zed/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    says = [(i, "block") for i in range(50)] + [(61 + i, "allow") for i in range(20)]
+    got = {r.page_id: r for r in judge(pages, labels=spark.createDataFrame(says, "page_id long, says string")).collect()}
+    assert all(got[i].verdict == "block" and got[i].template == "/user/*/x" for i in range(60))
+    assert got[60].labelled == 0 and got[60].verdict == "block" and abs(got[60].blocked_share - 50 / 78) < 1e-9
+    assert all(got[i].verdict == "allow" for i in range(61, 101))
+    assert got[101].blocked_share > 0.5 and got[102].blocked_share == 0 and got[102].verdict == "allow"
+    ruled = [f"http://x.example.com/en/{i}" for i in range(100, 140)] + ["http://x.example.com/de/1"]
+    last = {r.page_id: r for r in judge(spark.createDataFrame(list(enumerate(ruled)), "page_id long, url string"), rules=[("com/en/", "block")]).collect()}[40]
+    assert last.rule is None and last.verdict == "block" and abs(last.blocked_share - 40 / 48) < 1e-9
+
+
 def test_near_duplicates(docs, rows, empty):
     from tessera.llm.near_dedup import near_duplicates
 
