@@ -1,10 +1,10 @@
-"""Substring dedup by relative Lempel-Ziv factors against every earlier document.
+"""Substring dedup by anchor blocks against every earlier document, in place of a relative Lempel-Ziv parse.
 
 The reference is all documents, indexed by content-defined anchors: of the 16-word grams of a 50-word window, the
 least hash is its anchor, so equal windows have equal anchors wherever they stand. An anchor with the words around it that its
-windows cover is a reference block. A document is factored greedily: a block that an earlier document holds word for
-word extends the current factor, and factors of 50 words or more are duplicate spans. Where a block differs from every
-earlier one, at the boundary of a factor, each of its windows is looked up by itself, which makes the result exact:
+windows cover is a reference block, of 50 words at least. A block that an earlier document holds word for word is a
+duplicate span, called a factor here; spans are united, no factor is extended greedily. Where a block differs from every
+earlier one, each of its windows is looked up by itself, which makes the result exact:
 a word goes if and only if a 50-word window over it also starts in a document with a smaller id.
 
 Only hashes of anchors (about one for 18 words) are shuffled, texts only to look up boundaries and to cut spans out.
