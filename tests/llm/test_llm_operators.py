@@ -386,24 +386,86 @@ def test_sentencepiece(docs, rows, empty, spark):
     assert encode_documents(empty, PIECES).count() == 0
 
 
-def test_substring_dedup(docs, rows, empty):
-    from tessera.llm.substring_dedup import cut_documents
-
+def cut_by_force(rows, size=50):
+    """(doc_id, n_words, n_removed, sha256) of every row, by the window rule."""
     first = {}
     for i, t in rows:
         w = WORD.findall(t or "")
-        for j in range(len(w) - 49):
-            first[tuple(w[j : j + 50])] = min(i, first.get(tuple(w[j : j + 50]), i))
-    got = {r.doc_id: r for r in cut_documents(docs).collect()}
+        for j in range(len(w) - size + 1):
+            if i is not None:
+                first[tuple(w[j : j + size])] = min(i, first.get(tuple(w[j : j + size]), i))
+    out = []
     for i, t in rows:
         w = WORD.findall(t or "")
         gone = [False] * len(w)
-        for j in range(len(w) - 49):
-            if first[tuple(w[j : j + 50])] < i:
-                gone[j : j + 50] = [True] * 50
+        for j in range(len(w) - size + 1):
+            if i is not None and first[tuple(w[j : j + size])] < i:
+                gone[j : j + size] = [True] * size
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()), i
-    assert cut_documents(docs).count() == len(rows) and cut_documents(empty).count() == 0
+        out.append((-1 if i is None else i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+def cut_rows(df):
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect())
+
+
+def test_substring_dedup(docs, rows, empty):
+    from tessera.llm.substring_dedup import cut_documents
+
+    assert cut_rows(cut_documents(docs)) == cut_by_force(rows)
+    assert cut_documents(empty).count() == 0
+
+
+def test_substring_dedup_of_several_texts_under_one_id(spark):
+    """Rows that share a doc_id but not the text lose what their own text repeats, nothing else; so do rows without an id."""
+    from tessera.llm.substring_dedup import cut_documents
+
+    a, b = prose(70, 80), prose(71, 80)
+    shared, other = prose(72, 70), prose(73, 70)
+    cases = [
+        [(1, a), (2, a), (2, b)],
+        [(1, shared + " " + prose(74, 60)), (1, other), (2, prose(75, 20) + " " + shared + " " + prose(76, 51)), (2, prose(77, 30) + " " + other)],
+        [(None, a), (None, a), (3, a), (5, a + " " + a), (5, a + " " + a), (-7, b), (4, b)],
+    ]
+    for case in cases:
+        made = spark.createDataFrame([(i, t, 1, "x") for i, t in case], "doc_id long, text string, tag int, anchor string").repartition(3)
+        assert cut_rows(cut_documents(made)) == cut_by_force(case)
+
+
+def test_substring_dedup_of_a_passage_in_a_third_of_all_documents(spark):
+    """A hot passage, edited in some places and cut off in others."""
+    from tessera.llm.substring_dedup import cut_documents
+
+    r, hot = random.Random(8), prose(80, 150).split()
+    case = []
+    for i in range(240):
+        t = prose(1000 + i, r.randint(0, 90)).split()
+        if i % 3 == 0:
+            part = hot[r.randint(0, 40) : r.randint(100, 150)]
+            if i % 2:
+                part[r.randint(0, len(part) - 1)] = f"edit{i}"
+            at = r.randint(0, len(t))
+            t[at:at] = part
+        case.append((i, " ".join(t)))
+    assert cut_rows(cut_documents(spark.createDataFrame(case, "doc_id long, text string").repartition(6))) == cut_by_force(case)
+
+
+def test_greedy_factors_follow_their_reference(spark):
+    """Factors are whole copies of the reference, as long as it goes on: one for a passage from one document, two for passages from two."""
+    from tessera.llm.substring_dedup import find_factors
+
+    a, b = prose(90, 300).split(), prose(91, 300).split()
+    case = [(1, a), (2, b), (3, a[20:150] + b[100:260] + prose(92, 40).split()), (4, a)]
+    got = find_factors(spark.createDataFrame([(i, " ".join(w)) for i, w in case], "doc_id long, text string")).collect()
+    texts_of = dict(case)
+    for f in got:
+        assert f.source < f.doc_id and f.end - f.start >= 50
+        assert texts_of[f.doc_id][f.start : f.end] == texts_of[f.source][f.place : f.place + f.end - f.start]
+    assert [(f.source, f.start, f.end) for f in got if f.doc_id == 4] == [(1, 0, 300)]
+    third = sorted((f.start, f.end, f.source) for f in got if f.doc_id == 3)
+    # whole blocks: what is cut off at either end of a passage is left to the window look-ups
+    assert [s for _, _, s in third] == [1, 2] and third[0][0] < 50 and 50 < third[0][1] <= 130 <= third[1][0] < 180 and third[1][1] <= 290
 
 
 def test_pipeline(docs, rows, spark, tmp_path):
