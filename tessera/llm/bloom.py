@@ -1,8 +1,9 @@
-"""Fixed-size Bloom filters over 64-bit hashes, built by executors in blocks and merged block by block.
+"""Bloom filters over 64-bit hashes that tell which hashes at least two rows may have, one filter per range of hashes.
 
-A filter of ``bits`` positions is cut into blocks of 2**16 bits. Each task emits only the blocks it touched, as two
-bit maps: positions set at least once, and positions set at least twice. Merging is ``twice |= other.twice | (once &
-other.once)``, which is associative, so blocks merge in any order and on any executor.
+The hash space is cut into ranges of about ROWS rows, so each filter has the same bounded size whatever the number of
+rows, and there are as many as are needed. Tasks first merge equal hashes among their own rows (a hash with a third of all rows
+is one row a task after that); then each range is filled by one task, as two bit maps: positions set at least once, and at least
+twice. Only hashes travel, 9 bytes each.
 """
 
 from __future__ import annotations
@@ -11,64 +12,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-BLOCK_BITS = 1 << 16
+#: Rows that one filter is made for, and its bits: 16 a row, so about 0.5 % of unique hashes pass.
+ROWS = 1 << 20
+BITS = ROWS * 16
 PROBES = 3
+#: Hashes that a task holds to merge equal ones.
+HELD = 1 << 18
+
+
+def ranges_for(rows: int) -> int:
+    """How many filters (a power of two) so many rows need."""
+    return 1 << max(0, (max(rows, 1) - 1).bit_length() - ROWS.bit_length() + 1)
+
+
+def bits_for(rows: int) -> int:
+    """Bits of one filter: all BITS, or fewer where the whole table is smaller than a range."""
+    return BITS if rows >= ROWS else max(1 << 10, 1 << (max(rows, 1) * 16 - 1).bit_length())
+
+
+def range_of(h: Column, ranges: int) -> Column:
+    """The range of a hash: its upper bits."""
+    return F.shiftrightunsigned(h, 65 - ranges.bit_length()).cast("int") if ranges > 1 else F.lit(0)
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The PROBES bit positions of each hash: a (n, PROBES) array. ``bits`` is a power of two."""
-    h = hashes.astype(np.uint64)
+    """The PROBES bit positions of each hash in its range's filter: an array of (PROBES, n). ``bits`` is a power of two."""
+    h = hashes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     step = (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(h + np.uint64(i) * step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1) for i in range(PROBES)], axis=1)
+    return np.stack([(h + np.uint64(i) * step * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - bits.bit_length()) for i in range(PROBES)])
+
 
+class Filter:
+    """The bit maps of one range while it is filled."""
 
-def bits_for(rows: int, per_row: int = 16, least: int = BLOCK_BITS, most: int = 1 << 28) -> int:
-    """A power of two of about ``per_row`` bits a row, never over ``most`` (32 MB): beyond that the filter only lets more rows through."""
-    return int(min(most, max(least, 1 << max(1, (rows * per_row - 1).bit_length()))))
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
+    def add(self, hashes: np.ndarray, many: np.ndarray) -> None:
+        """Distinct hashes, and which of them stand for several rows."""
+        for at in positions(hashes, self.bits):  # one probe at a time: a row's own probes that coincide count once each
+            place, index, n = np.unique(at, return_index=True, return_counts=True)
+            byte, bit = place >> np.uint64(3), (np.uint8(128) >> (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
+            some = np.zeros(len(at), bool)
+            some[index] = n > 1
+            repeated = some[index] | (self.once[byte] & bit > 0)
+            np.bitwise_or.at(self.twice, byte[repeated], bit[repeated])
+            np.bitwise_or.at(self.once, byte, bit)
+            all_of = at[many]
+            np.bitwise_or.at(self.twice, all_of >> np.uint64(3), (np.uint8(128) >> (all_of & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
 
-def _blocks(once: np.ndarray, twice: np.ndarray, touched: np.ndarray) -> pa.RecordBatch:
-    size = BLOCK_BITS // 8
-    return pa.RecordBatch.from_pydict(
-        {
-            "block": pa.array(touched.astype(np.int32)),
-            "once": pa.array([once[b * size : (b + 1) * size].tobytes() for b in touched], pa.binary()),
-            "twice": pa.array([twice[b * size : (b + 1) * size].tobytes() for b in touched], pa.binary()),
-        }
-    )
 
+def merged(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and whether each came several times, or already stood for several rows."""
+    one, inverse, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    flag = n > 1
+    np.logical_or.at(flag, inverse, many)
+    return one, flag
+
+
+def filters(hashes: DataFrame, rows: int) -> DataFrame:
+    """(range, twice) for a DataFrame with one long column: bits that at least two of its ``rows`` rows set, per range."""
+    ranges, bits = ranges_for(rows), bits_for(rows)
+    name = hashes.columns[0]
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            one, flag = merged(np.concatenate(held), np.zeros(n, bool))
+            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(flag)], names=["h", "many"])
+
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            n += batch.num_rows
+            if n >= HELD:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, at = None, None
 
-def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bits that at least two rows of ``hashes`` (one long column) set: a uint8 array of ``bits`` / 8 bytes."""
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([made.twice.tobytes()], pa.binary())], names=["range", "twice"])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
         for batch in batches:
-            for row in positions(batch.column(0).to_numpy(zero_copy_only=False), bits).T:  # one probe at a time: a row's own probes that coincide count once each
-                at, n = np.unique(row, return_counts=True)
-                twice[at] |= once[at] | (n > 1)
-                once[at] = True
-        touched = np.flatnonzero(once.reshape(-1, BLOCK_BITS).any(axis=1))
-        if len(touched):
-            yield _blocks(np.packbits(once), np.packbits(twice), touched)
-
-    def merge(table: pa.Table) -> pa.Table:
-        once = twice = np.zeros(BLOCK_BITS // 8, np.uint8)
-        for a, b in zip(table.column("once"), table.column("twice"), strict=True):
-            x, y = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
-            twice, once = twice | y | (once & x), once | x
-        return pa.table({"block": table.column("block")[:1], "twice": pa.array([twice.tobytes()], pa.binary())})
-
-    parts = hashes.mapInArrow(build, "block int, once binary, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.groupBy("block").applyInArrow(merge, "block int, twice binary").toLocalIterator():
-        out[row["block"] * BLOCK_BITS // 8 : (row["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(row["twice"], np.uint8)
-    return out
-
-
-def all_set(filter_bytes: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Whether all bits of each hash are set: false means that no second row has this hash."""
+            h, many, of = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+            for x, y in zip(edges, [*edges[1:], len(of)], strict=True):
+                if of[x] != at:
+                    if made is not None:
+                        yield done()
+                    made, at = Filter(bits), int(of[x])
+                made.add(*merged(h[x:y], many[x:y]))
+        if made is not None:
+            yield done()
+
+    parts = hashes.select(F.col(name).alias("h")).mapInArrow(combine, "h long, many boolean").withColumn("range", range_of(F.col("h"), ranges))
+    return parts.repartition("range").sortWithinPartitions("range").mapInArrow(fill, "range int, twice binary")
+
+
+def all_set(twice: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether all bits of each hash are set in its range's filter: false means that no second row has this hash."""
     at = positions(hashes, bits)
-    return ((filter_bytes[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=1)
+    return ((twice[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)

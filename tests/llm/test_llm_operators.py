@@ -69,18 +69,56 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup(empty).count() == 0
 
 
-def test_bloom_lets_every_repeated_hash_through(spark):
+def test_exact_dedup_beyond_the_broadcast(docs, rows, empty, monkeypatch):
+    """The way for more rows than a broadcast may hold gives the same rows."""
+    from tessera.llm import bloom, exact_dedup
+
+    want = sorted(map(tuple, exact_dedup.exact_dedup(docs).drop("kept").collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(bloom, "ROWS", 4)  # many ranges, and parts of a hot one
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).drop("kept").collect()), key=str) == want
+    assert exact_dedup.exact_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+def test_bloom_lets_every_repeated_hash_through(spark, monkeypatch, ranged):
     from tessera.llm import bloom
 
-    h = spark.createDataFrame([(i % 700,) for i in range(1000)], "x long").select(F.xxhash64("x"))
-    bits = bloom.bits_for(1000)
-    found = bloom.repeated_bits(h.repartition(7), bits)
-    values = np.array([r[0] for r in h.collect()])
-    flags = bloom.all_set(found, values, bits)
+    if ranged:
+        monkeypatch.setattr(bloom, "ROWS", 128)
+        monkeypatch.setattr(bloom, "BITS", 128 * 16)
+    h = spark.createDataFrame([(i % 700,) for i in range(1000)], "x long").select(F.xxhash64("x").alias("h"))
+    ranges, bits = bloom.ranges_for(1000), bloom.bits_for(1000)
+    assert ranges == (8 if ranged else 1)
+    found = {r["range"]: np.frombuffer(r["twice"], np.uint8) for r in bloom.filters(h.repartition(7), 1000).collect()}
+    values = np.array([r[0] for r in h.withColumn("range", bloom.range_of(F.col("h"), ranges)).collect()])
+    places = np.array([r[1] for r in h.withColumn("range", bloom.range_of(F.col("h"), ranges)).collect()])
+    flags = np.array([bloom.all_set(found[p], np.array([v]), bits)[0] for v, p in zip(values, places, strict=True)])
     repeated = np.array([v in set(np.unique(values)[np.unique(values, return_counts=True)[1] > 1]) for v in values])
     assert flags[repeated].all() and flags[~repeated].mean() < 0.05
 
 
+def test_bloom_memory_does_not_grow_with_the_rows():
+    """16 million rows are 16 ranges; the memory of a task is that of one."""
+    import tracemalloc
+
+    from tessera.llm import bloom
+
+    n = 16_000_000
+    assert bloom.ranges_for(n) == 16 and bloom.bits_for(n) == bloom.BITS and bloom.ranges_for(50_000_000_000) * bloom.ROWS >= 50_000_000_000
+    r = np.random.default_rng(1)
+    tracemalloc.start()
+    f = bloom.Filter(bloom.bits_for(n))
+    for _ in range(105):
+        h = r.integers(0, 2**59, 10_000).astype(np.int64)
+        f.add(*bloom.merged(h, np.zeros(len(h), bool)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    fresh = r.integers(0, 2**59, 100_000).astype(np.int64)
+    assert bloom.all_set(f.twice, fresh, f.bits).mean() < 0.01
+
+
 def test_repetition(docs, rows, empty):
     from tessera.llm.repetition import keep_quality, measure
 
