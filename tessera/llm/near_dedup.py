@@ -12,9 +12,12 @@ pair of blocks is one group of rows, in which a node that the others' shingles d
 overlaps of the rest are matrix products. So rows grow with a bucket's nodes times its blocks outside the largest class;
 no bucket is capped, and two similar texts miss each other only if they share no band.
 A link is a pair whose shingle sets have a Jaccard similarity of at least the threshold; classes are its components.
+Sets are compared by the 64-bit hashes of their shingles.
 
 Defined results: a null text is empty; texts of one to four words have one shingle, their words; texts without
-words are copies of each other; repeated rows are copies; an empty table gives an empty result; other columns are ignored.
+words are copies of each other; very long texts count whole; repeated rows are copies, and several texts under one doc_id are texts of
+their own; of rows that tie for a class the least doc_id stays, then the first row; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                     nth = np.arange(len(found)) - np.searchsorted(found, found)
                     found = mix(found + nth.astype(np.uint64) * _GOLD)
                 out_nodes.append(node)
-                out.append(np.unique((found >> np.uint64(32)).astype(np.uint32)).tobytes())
+                out.append(np.unique(found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "elements"])
 
     source = _source(docs).withColumnRenamed("doc_id", "text_id")
@@ -281,7 +284,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             for batch in batches:
                 good = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                    p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= threshold * max(len(p), len(q)) else 0
                     good.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -306,7 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     more = check(ws.stage(cross.distinct().join(tried, ["a", "b"], "left_anti"), "pairs-few"), "links-few")
 
     crowd = classed.join(mixed.where(F.col("n") > FEW).select("bucket", "main"), "bucket").select("bucket", "node", "label", (F.col("label") != F.col("main")).alias("outer"))
-    weights = elements.select("node", (F.octet_length("elements") / 4 + NODE).alias("weight"))
+    weights = elements.select("node", (F.octet_length("elements") / 8 + NODE).alias("weight"))
     crowd = ws.stage(crowd.join(weights, "node"), "crowd")
     blocks = lambda outer: F.ceil(F.sum(F.when(F.col("outer") == outer, F.col("weight"))) / BLOCK).cast("int")
     cut = crowd.groupBy("bucket").agg(blocks(True).alias("outs"), blocks(False).alias("ins"))
@@ -329,7 +332,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                     if rows:
                         yield links_of(rows)
                     last, rows = (bucket, x, y), []
-                rows.append((node, label, side, np.frombuffer(raw.as_buffer(), np.uint32).copy()))
+                rows.append((node, label, side, np.frombuffer(raw.as_buffer(), np.uint64).copy()))
         if rows:
             yield links_of(rows)
 

@@ -385,6 +385,30 @@ def test_near_duplicates_in_buckets_of_many_blocks(spark, monkeypatch):
     assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes_by_force(some)
 
 
+def test_near_duplicates_among_strangers_just_below_the_threshold(spark):
+    """400 pairs at a similarity of 0.84, all texts sharing a passage (0.77 or less): no pair is lost, no stranger is drawn in."""
+    from tessera.llm.near_dedup import near_duplicates
+
+    passage, some = prose(52, 300).split(), []
+    for i in range(400):
+        one = passage + prose(6000 + i, 44).split()
+        two = list(one)
+        for k in range(6):
+            two[7 + (i * 3 + k * 47) % 285] = f"e{i}x{k}"
+        some += [" ".join(one), " ".join(two)]
+    got = [r.class_id for r in sorted(near_duplicates(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    assert got == [i - i % 2 for i in range(800)] == classes_by_force(some)
+
+
+def test_near_duplicates_of_several_texts_under_one_id(spark):
+    from tessera.llm.near_dedup import near_duplicates
+
+    a, b = prose(53, 120), prose(54, 120)
+    case = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (None, a), (None, None), (4, "")]
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.class_size, r.kept) for r in near_duplicates(spark.createDataFrame(case, "doc_id long, text string")).collect())
+    assert [(i, n) for i, n, _ in got] == [(-1, 2), (-1, 3), (1, 3), (2, 2), (2, 3), (3, 2), (4, 2)] and sum(k for *_, k in got) == 3
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     from tessera.llm.near_dedup import DartMinHash
 
