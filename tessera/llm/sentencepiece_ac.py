@@ -5,10 +5,11 @@ the best state of the position is relaxed from the state where that piece starts
 best sum of scores (Viterbi). BPE models have no additive score: there the state is the last piece of the only merge
 sequence that ends here, and a piece relaxes it only if it may follow the last piece of the state where it starts: that
 is, if merging the two pieces' characters gives back just these two. One left-to-right pass so gives the ids that the merge
-rules give. Characters in no piece become byte pieces (or the unknown id).
+rules give. Characters in no piece become byte pieces, or one unknown id for a run of them.
 
-Words (a run of blanks and what follows) are encoded once per worker and looked up after that: no piece spans the start of a
-blank run, which is checked when the model is loaded.
+Words (a run of blanks and what follows) of BPE models are encoded once per worker and looked up after that: no piece spans the start of a
+blank run, which is checked when the model is loaded. Unigram texts are read whole: their sums are kept in single precision from the first
+character on, as the library does, so that equal scores fall the same way.
 """
 
 from __future__ import annotations
@@ -79,8 +80,9 @@ class Model:
         usual = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.scores = {self.pieces[i]: sp.get_score(i) for i in usual}
         self.unknown_score = min(self.scores.values(), default=0.0) - 10.0
+        self.single = {i: np.float32(sp.get_score(i)) for i in usual}
         self.letters = {c for p in self.scores for c in p}
-        self.by_word = not any(re.search(f"[^{BLANK}]{BLANK}", p) or "\n" in p for p in self.scores)
+        self.by_word = self.bpe and not any(re.search(f"[^{BLANK}]{BLANK}", p) or "\n" in p for p in self.scores)
         automaton = ahocorasick.Automaton()
         for i in usual:
             automaton.add_word(self.pieces[i], (i, len(self.pieces[i])))
@@ -139,7 +141,8 @@ class Model:
 
     def _run_unigram(self, text: str) -> list[int]:
         n = len(text)
-        best = [0.0] + [-np.inf] * n
+        worst, score_of, unknown_score = np.float32(-np.inf), self.single, np.float32(self.unknown_score)
+        best = [np.float32(0.0)] + [worst] * n
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         by_end: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, found in self.automaton.iter(text):
@@ -147,12 +150,12 @@ class Model:
         for i in range(1, n + 1):
             single = False
             for piece, length in by_end[i - 1]:
-                score = best[i - length] + self.scores[self.pieces[piece]]
+                score = best[i - length] + score_of[piece]
                 single |= length == 1
                 if score > best[i]:
                     best[i], back[i] = score, (piece, length)
-            if not single and best[i - 1] + self.unknown_score > best[i]:
-                best[i], back[i] = best[i - 1] + self.unknown_score, (-1, 1)
+            if not single and best[i - 1] + unknown_score > best[i]:
+                best[i], back[i] = best[i - 1] + unknown_score, (-1, 1)
         parts = []
         i = n
         while i:
@@ -191,13 +194,26 @@ class Model:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit bytes."""
         cut = [self._words(t) for t in texts]
+        if not self.by_word:
+            whole = [np.array(self.encode_word(w[0]), "<u4").tobytes() if w else b"" for w in cut]
+            return whole if self.byte_ids else [self._one_unknown(ids) for ids in whole]
         new = {w for words in cut for w in words}
         if len(self.known) + len(new) > REMEMBER:
             self.known = {w: i for w, i in self.known.items() if w in new}
         for w in new.difference(self.known):
             self.known[w] = np.array(self.encode_word(w), "<u4").tobytes()
         look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in cut]
+        joined = [b"".join(map(look, words)) for words in cut]
+        return joined if self.byte_ids else [self._one_unknown(ids) for ids in joined]
+
+    def _one_unknown(self, ids: bytes) -> bytes:
+        """Neighbouring unknown characters are one unknown piece, across words too."""
+        one = np.array([self.unknown], "<u4").tobytes()
+        if one + one not in ids:
+            return ids
+        found = np.frombuffer(ids, "<u4")
+        again = (found[1:] == self.unknown) & (found[:-1] == self.unknown)
+        return found[np.concatenate(([True], ~again))].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8 (as bytes: ids from elsewhere need not be whole characters)."""

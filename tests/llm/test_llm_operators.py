@@ -448,6 +448,44 @@ def test_sentencepiece(docs, rows, empty, spark):
     assert encode_documents(empty, PIECES).count() == 0
 
 
+def model_file(path, pieces, byte_fallback):
+    """A unigram model written by hand: (piece, score) and the usual special pieces."""
+    import struct
+
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3 & 0x7F | (0x80 if number > 15 else 0)]) + (bytes([number >> 4]) if number > 15 else b"") + bytes([value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        return bytes([number << 3 | 2]) + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value
+
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_fallback), *((p, s, 1) for p, s in pieces)]
+    raw = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in listed)
+    raw += field(2, field(3, 1) + field(35, int(byte_fallback))) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+    path.write_bytes(raw)
+    return str(path)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_unigram_viterbi_equals_the_library(tmp_path, byte_fallback):
+    """Best sums of scores relaxed over the output links, with runs of unknown characters as one id."""
+    from sentencepiece import SentencePieceProcessor
+
+    from tessera.llm.sentencepiece_ac import Model
+
+    r = random.Random(4)
+    pieces = {c: -6.0 - i / 8 for i, c in enumerate("▁abcdeé")}
+    while len(pieces) < 120:
+        p = "".join(r.choice("abcdeé") for _ in range(r.randint(2, 6)))
+        pieces[("▁" if r.random() < 0.4 else "") + p] = -r.uniform(3.0, 12.0)
+    path = model_file(tmp_path / "unigram.model", sorted(pieces.items()), byte_fallback)
+    sp, m = SentencePieceProcessor(model_file=path), Model(path)
+    assert not m.bpe
+    texts = ["", "abc", "  ab   cd ", "xyz", "abxyzcd xx yy", "中文 字\n\nab", "a" * 3000, "x" * 500] + ["".join(r.choice("abcdeé   xz中\n") for _ in range(r.randint(1, 60))) for _ in range(400)]
+    for t, raw in zip(texts, m.encode(texts), strict=True):
+        assert list(np.frombuffer(raw, "<u4")) == sp.encode(t), repr(t)
+
+
 def cut_by_force(rows, size=50):
     """(doc_id, n_words, n_removed, sha256) of every row, by the window rule."""
     first = {}
