@@ -425,13 +425,84 @@ def test_licenses(docs, rows, empty):
     from tessera.llm import licenses
 
     got = {r.doc_id: r for r in licenses.scan_documents(docs).collect()}
-    assert set(got) == {22} and got[22].n_confirmed == 2
+    assert {i for i, r in got.items() if r.n_found} == {22} and got[22].n_confirmed == 2
+    assert all(r.family == licenses.UNKNOWN and r.n_unknown for r in got.values() if not r.n_found)
     t = dict(rows)[22]
     found = [(f, t[int(s) : int(e)]) for f, s, e in (x.split(":") for x in got[22].spans.split(","))]
     assert found == [("apache-2.0", t.split("\n")[0]), ("mit", t.split("\n")[2])]
     assert licenses.held_out_accuracy() > 0.9 and licenses.scan_documents(empty).count() == 0
 
 
+#: Wordings that the model was not fitted on.
+UNSEEN = (
+    ("apache-2.0", "This project is distributed under the terms of the Apache License (Version 2.0)."),
+    ("apache-2.0", "See the Apache-2.0 license for details."),
+    ("apache-2.0", "The code is available under an Apache 2.0 license."),
+    ("mit", "This library is MIT licensed."),
+    ("mit", "The source is available under the MIT license, see LICENSE."),
+    ("mit", "License: MIT"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this work."),
+    ("gpl", "You can use this under the GNU GPL v3 or any later version of the GNU General Public License."),
+    ("gpl", "This file is part of a program released under the GNU General Public License."),
+    ("lgpl", "This module is covered by the GNU Lesser General Public License."),
+    ("agpl", "The server is published under the GNU Affero General Public License v3."),
+    ("bsd", "Distributed under the BSD license."),
+    ("bsd", "Redistribution and use, with or without modification, are permitted provided that the copyright notice is kept."),
+    ("mpl-2.0", "This file is subject to the Mozilla Public License."),
+    ("cc-by-nc", "Text available under CC BY-NC 4.0 only."),
+    ("cc-by-nc", "Shared under a Creative Commons Attribution-NonCommercial license."),
+    ("cc-by-sa", "Available under CC BY-SA 4.0"),
+    ("cc-by-sa", "Content is licensed under the Creative Commons Attribution-ShareAlike 4.0 license."),
+    ("cc-by", "The figures are published under CC BY 4.0."),
+    ("cc-by", "This article is distributed under a Creative Commons Attribution 4.0 license."),
+    ("unlicense", "The author released this work into the public domain as free and unencumbered software."),
+)
+CLEAN = (
+    "The driver showed a licence to the officer.",
+    "A new license plate was fitted under the bumper.",
+    "The MIT professor won a prize.",
+    "Free entry to the public garden under the bridge.",
+    "The Apache people lived in the south west.",
+    "The gnu is a large antelope.",
+    "She released the bird under the open sky.",
+    "Creative ideas are common in small teams.",
+    "The library is open to the general public.",
+    "Software licences cost more each year, the auditors said.",
+    "Use of this road is governed by local rules.",
+    "The commons voted on the bill.",
+    "They distributed food under the terms of the treaty.",
+    "The BSD meeting is on Monday.",
+    "Version 2.0 will be ready in May.",
+)
+
+
+def test_licenses_in_wordings_not_seen_before(spark):
+    """Recall and precision per paragraph on other wordings; wrapped lines are one paragraph, with its place in the text."""
+    from tessera.llm import licenses
+    from tessera.llm.common import Workspace
+
+    data = [(i, f"Some text before it.\n{t}\n\nAnd after.") for i, t in enumerate([t for _, t in UNSEEN] + list(CLEAN))]
+    got = {}
+    for r in licenses.find_licenses(spark.createDataFrame(data, "doc_id long, text string"), Workspace(spark, "test-licenses")).collect():
+        assert r.family == licenses.UNKNOWN or data[r.doc_id][1][r.start : r.end] == data[r.doc_id][1].split("\n")[1]
+        if r.confirmed:
+            got[r.doc_id] = r.family
+    right = sum(got.get(i) == f for i, (f, _) in enumerate(UNSEEN))
+    assert right >= 0.85 * len(UNSEEN) and all(got.get(i) in (f, None) for i, (f, _) in enumerate(UNSEEN))
+    assert not [i for i in got if i >= len(UNSEEN)]
+
+
+def test_licenses_over_wrapped_lines(spark):
+    from tessera.llm import licenses
+    from tessera.llm.common import Workspace
+
+    lines = ["Title", "This program is free software: you can redistribute it and/or modify it", "under the terms of the GNU General Public License as published by the Free", "Software Foundation.", "Released under the MIT License."]
+    text = "\n".join(lines)
+    data = [(1, text), (2, None), (3, ""), (1, text)]
+    got = sorted((r.doc_id, r.family, text[r.start : r.end], r.confirmed) for r in licenses.find_licenses(spark.createDataFrame(data, "doc_id long, text string"), Workspace(spark, "test-licenses")).collect())
+    assert got == [(1, "gpl", "\n".join(lines[1:4]), True)] * 2 + [(1, "mit", lines[4], True)] * 2
+
+
 def test_sentencepiece(docs, rows, empty, spark):
     from sentencepiece import SentencePieceProcessor
 
