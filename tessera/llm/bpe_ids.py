@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 END = b"\x00\x00\x00\x00"
-#: Pieces that a worker remembers: about 150 bytes each.
-REMEMBER = 1_500_000
+#: Pieces that a worker remembers, from one task to the next: about 200 bytes each.
+REMEMBER = 1_000_000
 _UNSURE = re.compile(r"\s\s(?:\s|\Z)")
 _MARKS = (".", ",", "!", "?", ";", ":")
 
@@ -49,14 +49,6 @@ class PackedEncoder:
         self.known: dict[str, bytes] = {}
         self.line_feed, *marks = self._ask(["\n", *_MARKS])
         self.marks = dict(zip(_MARKS, marks, strict=True))
-        self.known: dict[str, bytes] = {}
-        self.line_feed, *marks = self._ask(["\n", *_MARKS])
-        self.marks = dict(zip(_MARKS, marks, strict=True))
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        # the model's alphabet: each byte as the character that byte-level pre-tokenising writes for it
-        two = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.alphabet = {b: two(chr(b))[0][0] for b in range(128)} | {b: two(bytes([0xC2 + (b >> 6) - 2, b & 0xBF]).decode())[0][0][1] for b in range(128, 192)}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
@@ -102,6 +94,12 @@ class PackedEncoder:
         return [next(self._ask([t])) if pieces is None else b"".join(map(look, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PackedEncoder:
+    """The worker's encoder, with what it has learnt in earlier tasks."""
+    return PackedEncoder(path)
+
+
 def small_batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) of runs of at most about ``most`` characters, so that a worker's memory stays bounded."""
     start = size = 0

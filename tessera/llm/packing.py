@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_ids import END, PackedEncoder, small_batches
+from .bpe_ids import END, encoder_of, small_batches
 from .common import Workspace
 
 CAPACITY = 2048
@@ -224,7 +224,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     """One row per piece: doc_id, piece, start, length, ids_crc32. Every text ends with id 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PackedEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]

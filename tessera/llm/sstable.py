@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_ids import END, PackedEncoder, small_batches
+from .bpe_ids import END, encoder_of, small_batches
 from .common import Workspace
 
 MAGIC = b"TSST0001"
@@ -214,7 +214,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, shard_bytes: int
                 store.create_dir(base, recursive=True)
                 temporary = f"{base}/.{shard:06d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(temporary)
-                encoder = PackedEncoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 writer = Writer(out, 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4)
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
