@@ -47,6 +47,7 @@ class PackedEncoder:
     def __init__(self, path: str, remember: int = REMEMBER):
         self.tokenizer, self.remember = _load(path), remember
         self.known: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.line_feed, *marks = self._ask(["\n", *_MARKS])
         self.marks = dict(zip(_MARKS, marks, strict=True))
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -58,21 +59,36 @@ class PackedEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of new pieces into ``known``."""
-        known, rest = self.known, []
-        tokenize, one = self.tokenizer.model.tokenize, struct.Struct("<I").pack
+        known, rest, marks = self.known, [], self.marks
+        tokenize, packed, blank = self.tokenizer.model.tokenize, self.packed, _ALPHABET[0x20]
+
+        def ids_of(word: str) -> bytes:
+            """The ids of letters after at most one blank: they are one word to the model."""
+            if word.isascii():  # letters stand for themselves
+                text = blank + word[1:] if word[0] == " " else word
+            else:
+                text = word.encode().decode("latin-1").translate(_ALPHABET)
+            return b"".join([packed[t.id] for t in tokenize(text)])
+
         for p in pieces:
+            tail = p[1:]
+            if tail.isalpha() and (p[0] == " " or p[0].isalpha()):
+                known[p] = ids_of(p)
+                continue
             # a line feed before a word, and a mark after one, are always tokens of their own
-            word = p[1:] if p[:1] == "\n" else p
-            mark = word[-1:] if word[-1:] in self.marks else ""
-            word = word[: len(word) - len(mark)]
-            if not (word[1:] if word[:1] == " " else word).isalpha():
+            feed = p[:1] == "\n"
+            word = tail if feed else p
+            mark = marks.get(word[-1:])
+            if mark:
+                word = word[:-1]
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = ids_of(word)
+                if feed or mark:
+                    known[p] = (self.line_feed if feed else b"") + ids + (mark or b"")
+            else:
                 rest.append(p)
-                continue
-            ids = known.get(word)
-            if ids is None:  # letters after at most one blank are one word to the model
-                ids = known[word] = b"".join([one(t.id) for t in tokenize(word.encode().decode("latin-1").translate(_ALPHABET))])
-            if word != p:
-                known[p] = (self.line_feed if p[:1] == "\n" else b"") + ids + (self.marks[mark] if mark else b"")
         if rest:
             known.update(zip(rest, self._ask(rest), strict=True))
 
