@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,7 @@ def _alphabet() -> dict[int, str]:
 
 
 _ALPHABET = _alphabet()
+_BLANK = _ALPHABET[0x20]
 
 
 @lru_cache(maxsize=2)
@@ -41,73 +42,70 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Known(dict):
+    """Piece to packed ids; asks for a new one, and forgets everything when it is full."""
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.learn, self.most = learn, most
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class PackedEncoder:
-    """``encode(texts)`` yields each text's ids as little-endian unsigned 32-bit bytes, without an end id."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes, without an end id."""
 
     def __init__(self, path: str, remember: int = REMEMBER):
-        self.tokenizer, self.remember = _load(path), remember
-        self.known: dict[str, bytes] = {}
+        self.tokenizer = _load(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known = _Known(self._learn, remember)
         self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
-        self.line_feed, *marks = self._ask(["\n", *_MARKS])
-        self.marks = dict(zip(_MARKS, marks, strict=True))
+        self.line_feed = self._ask("\n")
+        self.marks = {m: self._ask(m) for m in _MARKS}
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
-    def _ask(self, texts: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.asarray(e.ids, "<u4").tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the ids of new pieces into ``known``."""
-        known, rest, marks = self.known, [], self.marks
-        tokenize, packed, blank = self.tokenizer.model.tokenize, self.packed, _ALPHABET[0x20]
-
-        def ids_of(word: str) -> bytes:
-            """The ids of letters after at most one blank: they are one word to the model."""
-            if word.isascii():  # letters stand for themselves
-                text = blank + word[1:] if word[0] == " " else word
-            else:
-                text = word.encode().decode("latin-1").translate(_ALPHABET)
-            return b"".join([packed[t.id] for t in tokenize(text)])
-
-        for p in pieces:
-            tail = p[1:]
-            if tail.isalpha() and (p[0] == " " or p[0].isalpha()):
-                known[p] = ids_of(p)
-                continue
-            # a line feed before a word, and a mark after one, are always tokens of their own
-            feed = p[:1] == "\n"
-            word = tail if feed else p
-            mark = marks.get(word[-1:])
-            if mark:
-                word = word[:-1]
-            if (word[1:] if word[:1] == " " else word).isalpha():
-                ids = known.get(word)
-                if ids is None:
-                    ids = known[word] = ids_of(word)
-                if feed or mark:
-                    known[p] = (self.line_feed if feed else b"") + ids + (mark or b"")
-            else:
-                rest.append(p)
-        if rest:
-            known.update(zip(rest, self._ask(rest), strict=True))
+    def _ask(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        """The ids of a new piece."""
+        tail = piece[1:]
+        if tail.isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._word(piece)
+        # a line feed before a word, and a mark after one, are always tokens of their own
+        feed = piece[:1] == "\n"
+        word = tail if feed else piece
+        mark = self.marks.get(word[-1:])
+        if mark:
+            word = word[:-1]
+        if (word[1:] if word[:1] == " " else word).isalpha():
+            return (self.line_feed if feed else b"") + (self.known.get(word) or self._word(word)) + (mark or b"")
+        return self._ask(piece)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of letters after at most one blank: they are one word to the model."""
+        if word.isascii():  # letters stand for themselves
+            text = _BLANK + word[1:] if word[0] == " " else word
+        else:
+            text = word.encode().decode("latin-1").translate(_ALPHABET)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        used: set[str] = set()
+        look, out = self.known.__getitem__, []
         for text in texts:
             if _UNSURE.search(text) or (self.special and self.special.search(text)):
-                cut.append(None)
+                out.append(self._ask(text))
                 continue
             # every piece but the first starts with its blank; lines are cut before the line feed
             pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00") if "\x00" not in text else re.split(r"(?=[ \n])", text)
-            cut.append(pieces)
-            used.update(pieces)
-        if len(self.known) + len(used) > self.remember:
-            self.known = {p: i for p, i in self.known.items() if p in used}
-        self._learn(used.difference(self.known))
-        look = self.known.__getitem__
-        return [next(self._ask([t])) if pieces is None else b"".join(map(look, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+            out.append(b"".join(map(look, pieces)))
+        return out
 
 
 @lru_cache(maxsize=1)
