@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: A word of the search tokeniser, of the baseline tokeniser, and a capitalised phrase of up to three words.
 SEARCH_TOKEN = r"[a-z0-9_ı]+|[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}]"
 BASELINE_TOKEN = r"[A-Za-z0-9]+|[\x{3400}-\x{9FFF}]"
-PHRASE = r"(?U)\b[A-Z][a-zA-Z]*(?:[ -][A-Z][a-zA-Z]*){0,2}\b"
+PHRASE = r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]*(?:[ -][A-Z][a-zA-Z]*){0,2}(?![\p{L}\p{N}_])"
 
 
 def fold(text: Column) -> Column:

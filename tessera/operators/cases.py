@@ -48,7 +48,7 @@ def citation_list(rows: DataFrame, by: str, refs: Column, fields: Sequence[str])
     all_refs = F.concat(refs, F.array(*fields))
     seen = rows.select(by, "line", F.posexplode(all_refs).alias("at", "ref")).where("ref IS NOT NULL AND ref != ''")
     first = seen.groupBy(by, "ref").agg(F.min(F.struct("line", "at")).alias("first"))
-    return first.select(by, "ref", F.row_number().over(Window.partitionBy(by).orderBy("first")).alias("pos"))
+    return first.select(by, "ref", F.row_number().over(Window.partitionBy(by).orderBy("first", "ref")).alias("pos"))
 
 
 def exhausted(slots: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import phrases
+from .staging import staged
 
 EDGE_TYPES = ("CITES", "DEPENDS_ON", "REFERENCES", "SUPPORTS")
 
@@ -15,26 +18,99 @@ def document_phrases(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.explode(phrases(F.col("text"))).alias("phrase")).distinct()
 
 
-def edges(doc_phrase: DataFrame) -> DataFrame:
-    """Undirected edges a < b of documents that share a phrase. Quadratic in a phrase's documents: for bounded samples of phrases."""
-    a, b = doc_phrase.toDF("a", "phrase"), doc_phrase.toDF("b", "phrase")
-    return a.join(b, "phrase").where("a < b").select("a", "b").distinct()
+def edges_of(doc_phrase: DataFrame, asked: DataFrame) -> DataFrame:
+    """(document_id, neighbour): all documents that share a phrase with one of ``asked`` (a stated set, with its phrases)."""
+    other = doc_phrase.withColumnRenamed("document_id", "neighbour")
+    return asked.join(other, "phrase").where("document_id != neighbour").select("document_id", "neighbour").distinct()
+
+
+#: Seeds and documents of one task of ``_unions`` and of ``size``.
+SEEDS, DOCUMENTS = 8192, 4096
+
+
+def _union_sizes(held: pa.Table, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(document, n): of the seeds in ``held`` (seed, phrase), how many share a phrase with each document of ``wanted`` (document_id, phrase)."""
+    numbers = held.column("phrase").combine_chunks().dictionary_encode()
+    row = numbers.indices.to_numpy()
+    seed = np.unique(held.column("seed").to_numpy(), return_inverse=True)[1]
+    bits = np.zeros((len(numbers.dictionary) + 1, seed.max(initial=-1) // 8 + 1), np.uint8)  # the last row is empty
+    np.bitwise_or.at(bits, (row, seed >> 3), (1 << (seed & 7)).astype(np.uint8))
+    place = {p: i for i, p in enumerate(numbers.dictionary.to_pylist())}
+    phrase = np.array([place.get(p, len(place)) for p in wanted.column("phrase").to_pylist()], np.int64)
+    document = wanted.column("document_id").to_numpy()
+    order = np.argsort(document, kind="stable")
+    some, first = np.unique(document[order], return_index=True)
+    counts = np.zeros(len(some), np.int64)
+    step = max(1, (32 << 20) // bits.shape[1])  # rows gathered at a time
+    at = 0
+    while at < len(some):  # whole documents at a time
+        end = max(at + 1, int(np.searchsorted(first, first[at] + step)))
+        last = first[end] if end < len(some) else len(order)
+        gathered = np.bitwise_or.reduceat(bits[phrase[order[first[at] : last]]], first[at:end] - first[at], axis=0)
+        counts[at:end] = np.bitwise_count(gathered).sum(axis=1)
+        at = end
+    return some, counts
 
 
 def search(doc_phrase: DataFrame, asked: DataFrame, seed_weight: int = 2, neighbour_weight: int = 1, limit: int = 12) -> DataFrame:
     """Documents that share a phrase with a query (query_id, phrase), and their neighbours: 2 a seed, 1 per linking seed.
 
-    The graph is never built: a seed's neighbours come from its own phrases.
+    The graph is never built, and no phrase is left out. How many seeds of a query hold a phrase is counted first; the sum and the largest of these
+    over a document's phrases bound how many distinct seeds link to it. Only documents whose upper bound reaches the ``limit``-th lower bound of
+    their query are counted exactly, as unions of bit sets in blocks of seeds and parts of documents.
     """
-    seeds = asked.join(doc_phrase, "phrase").select("query_id", F.col("document_id").alias("seed")).distinct()
-    of_seed = seeds.join(doc_phrase.withColumnRenamed("document_id", "seed"), "seed")
-    near = of_seed.join(doc_phrase, "phrase").where("document_id != seed").select("query_id", "seed", "document_id").distinct()
-    votes = seeds.select("query_id", F.col("seed").alias("document_id"), F.lit(seed_weight).alias("w")).unionByName(near.select("query_id", "document_id", F.lit(neighbour_weight).alias("w")))
-    total = votes.groupBy("query_id", "document_id").agg(F.sum("w").alias("contribution"))
+    dp = staged(doc_phrase, "document-phrases")
+    seeds = staged(asked.join(dp, "phrase").select("query_id", F.col("document_id").alias("seed")).distinct(), "seeds")
+    of_seed = staged(seeds.join(dp.withColumnRenamed("document_id", "seed"), "seed").select("query_id", "seed", "phrase"), "seed-phrases")
+    held = of_seed.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    bounds = held.join(dp, "phrase").groupBy("query_id", "document_id").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count(F.lit(1)).alias("k"))
+    bounds = bounds.join(seeds.select("query_id", F.col("seed").alias("document_id"), F.lit(1).alias("is_seed")), ["query_id", "document_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(0)))
+    low = seed_weight * F.col("is_seed") + neighbour_weight * (F.col("most") - F.col("is_seed"))
+    high = seed_weight * F.col("is_seed") + neighbour_weight * (F.col("total") - F.col("is_seed") * F.col("k"))
+    bounds = bounds.select("query_id", "document_id", "is_seed", low.alias("low"), high.alias("high"))
+    nth = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("n") <= limit).groupBy("query_id").agg(F.min("low").alias("least"), F.max("n").alias("n"))
+    near = staged(bounds.join(nth, "query_id").where((F.col("high") >= F.col("least")) | (F.col("n") < limit)).select("query_id", "document_id", "is_seed", "low", "high"), "candidates")
+
+    unsure = near.where("low < high").select("query_id", "document_id")
+    blocks = seeds.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / SEEDS).cast("int").alias("blocks"))
+    parts = unsure.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).cast("int").alias("parts"))
+    grid = blocks.join(parts, "query_id")
+    left = of_seed.join(grid, "query_id").select("query_id", "seed", "phrase", F.pmod(F.xxhash64("seed"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = unsure.join(grid, "query_id").join(dp, "document_id")
+    right = right.select("query_id", "document_id", "phrase", F.pmod(F.xxhash64("document_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def unions(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not held.num_rows or not wanted.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "document_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        some, counts = _union_sizes(held, wanted)
+        return pa.table({"query_id": pa.array(np.full(len(some), held.column("query_id")[0].as_py())), "document_id": pa.array(some), "n": pa.array(counts)})
+
+    key = ["query_id", "block", "part"]
+    counted = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(unions, "query_id long, document_id long, n long").groupBy("query_id", "document_id").agg(F.sum("n").alias("linked"))
+    exact = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(seed_weight * F.col("is_seed") + neighbour_weight * (F.coalesce("linked", F.lit(0)) - F.col("is_seed")))
+    total = near.join(counted, ["query_id", "document_id"], "left").select("query_id", "document_id", exact.cast("long").alias("contribution"))
     order = Window.partitionBy("query_id").orderBy(F.desc("contribution"), "document_id")
     return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def size(documents: DataFrame, doc_phrase: DataFrame) -> DataFrame:
+    """(nodes, edges) of the whole graph: an audit of it. Edges are counted by unions of bit sets, block of documents by block, never listed."""
+    dp = staged(doc_phrase, "document-phrases")
+    n = F.greatest(F.lit(1), F.ceil(dp.select(F.count_distinct("document_id")).scalar() / DOCUMENTS).cast("int"))
+    own = F.pmod(F.xxhash64("document_id"), n).cast("int")
+    left = dp.select(F.col("document_id").alias("seed"), "phrase", own.alias("block"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    right = dp.select("document_id", "phrase", own.alias("part"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
+
+    def ends(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        counts = _union_sizes(held, wanted)[1] if held.num_rows and wanted.num_rows else np.zeros(1, np.int64)
+        return pa.table({"n": pa.array([int(counts.sum())])})
+
+    counted = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(ends, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends"))
+    # every document with a phrase meets itself once
+    selves = dp.agg(F.count_distinct("document_id").alias("selves"))
+    return documents.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(counted).crossJoin(selves).select("nodes", ((F.col("ends") - F.col("selves")) / 2).cast("long").alias("edges"))
+
+
 def paths(nodes: DataFrame, relations: DataFrame, seeds: DataFrame, node_ok: Column, edge_ok: Column, hops: int = 2, types: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
     """Undirected paths of 1 to ``hops`` (at most 2) relations from seed entities (query_id, entity_id).
 

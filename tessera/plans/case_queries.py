@@ -1,18 +1,18 @@
 """Review cases, composite retrieval, context, streams."""
 
-import tempfile
 import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, chunking, context, evaluation, graph
+from ..operators import cases, chunking, context, evaluation
 from ..operators import retrieval as r
+from ..operators.staging import shared_root
 from ..sources import corpus as c
 from ..streaming import streams
 from . import sql
 from .catalog import query
-from .graph_queries import _ASCII, _PH, _doc_phrases
+from .graph_queries import GRAPH_VOTES, linked
 from .operations_queries import _SLOTS, _runs, _slots
 from .retrieval_queries import _LEXICAL, governed
 
@@ -22,10 +22,10 @@ def exhausted_attempts(spark, d):
     return cases.exhausted(_slots(spark, d), _runs(spark, d))
 
 
-@query("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+@query("SELECT o_orderkey AS run_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
 def enqueue_new(spark, d):
     stored = c.table(spark, d, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("run_id"))
-    return c.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("run_id")).join(stored, "run_id", "left_anti")
+    return c.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id")).join(stored, "run_id", "left_anti")
 
 
 @query("SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'free' WHEN ts <= TIMESTAMP '2024-01-15' THEN 'expired' ELSE 'held' END AS state, event_id % 7 + CASE WHEN user_id % 4 = 0 OR ts <= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS token FROM events")
@@ -94,18 +94,17 @@ def evidence_headers(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT l_orderkey AS case_id, l_linenumber * 1000 + l_partkey % 10 AS line, ['r' || (l_suppkey % 5), CASE WHEN l_partkey % 2 = 0 THEN 'p' || (l_partkey % 9) ELSE '' END, 's' || (l_suppkey % 5)] AS refs FROM lineitem WHERE l_orderkey % 5 = 0),
+    """WITH l AS (SELECT l_orderkey AS case_id, l_linenumber * 1000 + l_partkey % 10 AS line, ['r' || (l_suppkey % 5), CASE WHEN l_partkey % 2 = 0 THEN 'p' || (l_partkey % 9) ELSE '' END, 's' || (l_suppkey % 5)] AS refs FROM lineitem),
     x AS (SELECT case_id, line, unnest(refs) AS ref, generate_subscripts(refs, 1) AS place FROM l), f AS (SELECT case_id, ref, min(line * 10 + place) AS first FROM x WHERE ref <> '' GROUP BY ALL)
     SELECT case_id, ref, row_number() OVER (PARTITION BY case_id ORDER BY first, ref)::INT AS pos FROM f"""
 )
 def citation_lists(spark, d):
-    t = c.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
     line = F.col("l_linenumber") * 1000 + F.col("l_partkey") % 10
-    rows = t.select(F.col("l_orderkey").alias("case_id"), line.alias("line"), F.concat(F.lit("r"), F.col("l_suppkey") % 5).alias("a"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("p"), F.col("l_partkey") % 9)).otherwise("").alias("b"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("e"))
-    from pyspark.sql import Window
-
-    firsts = rows.select("case_id", "line", F.posexplode(F.array("a", "b", "e")).alias("at", "ref")).where("ref != ''").groupBy("case_id", "ref").agg(F.min(F.struct("line", "at")).alias("first"))
-    return firsts.select("case_id", "ref", F.row_number().over(Window.partitionBy("case_id").orderBy("first", "ref")).alias("pos"))
+    of = lambda name, number: F.concat(F.lit(name), number)
+    rows = c.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), line.alias("line"), F.array(of("r", F.col("l_suppkey") % 5)).alias("refs"), F.when(F.col("l_partkey") % 2 == 0, of("p", F.col("l_partkey") % 9)).otherwise("").alias("citation"), of("s", F.col("l_suppkey") % 5).alias("source")
+    )
+    return cases.citation_list(rows, "case_id", F.col("refs"), ["citation", "source"])
 
 
 @query("SELECT event_id, list_has_any(list_transform(json_keys(m), lambda k: regexp_replace(lower(k), '[^a-z0-9]', '', 'g')), ['workspaceroot', 'workspacepath', 'artifactroot', 'artifactpath', 'skillpackid', 'baseagentprofileid']) AS reserved FROM (SELECT event_id, '{\"' || CASE event_id % 4 WHEN 0 THEN 'Workspace-Root' WHEN 1 THEN 'note' WHEN 2 THEN 'ARTIFACT path' ELSE 'rooted' END || '\":\"1\"}' AS m FROM events)")
@@ -126,27 +125,15 @@ def signature_check(spark, d):
     return c.table(spark, d, "documents").select("doc_id", (F.sha2("text", 256) == signed).alias("intact"))
 
 
-_GRAPH_SQL = f"""dp AS (SELECT DISTINCT doc_id AS document_id, unnest(regexp_extract_all(text, {_PH})) AS phrase FROM documents WHERE {_ASCII}), tell AS (SELECT phrase FROM dp GROUP BY phrase HAVING count(*) <= 20), t AS (SELECT * FROM dp WHERE phrase IN (SELECT phrase FROM tell)),
-    gq AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, {_PH})) AS phrase FROM benchmark WHERE {_ASCII}), seeds AS (SELECT DISTINCT query_id, document_id AS seed FROM gq JOIN t USING (phrase)),
-    near AS (SELECT DISTINCT query_id, seed, y.document_id FROM seeds JOIN t x ON x.document_id = seed JOIN t y ON y.phrase = x.phrase AND y.document_id <> seed),
-    gv AS (SELECT query_id, document_id, sum(w) AS c FROM (SELECT query_id, seed AS document_id, 2 AS w FROM seeds UNION ALL SELECT query_id, document_id, 1 FROM near) GROUP BY ALL)"""
-
-
 @query(
-    f"""WITH {_LEXICAL}, {_GRAPH_SQL}, lists AS (SELECT 'lexical' AS list, query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS rank FROM lexical
-      UNION ALL SELECT 'graph', query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, document_id) FROM gv),
+    f"""WITH {_LEXICAL}, {GRAPH_VOTES}, lists AS (SELECT 'lexical' AS list, query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id) AS rank FROM lexical
+      UNION ALL SELECT 'graph', query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, document_id) FROM gv),
     f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM lists WHERE rank <= 12 GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM f) WHERE rank <= 10"""
 )
 def graph_lexical_fused(spark, d):
-    from ..functions.text import phrases as phrases_of
-
-    dp = _doc_phrases(spark, d)
-    telling = dp.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n <= 20").select("phrase")
-    items = c.table(spark, d, "benchmark").where(F.octet_length("text") == F.length("text"))
-    asked = items.select(F.col("item_id").alias("query_id"), F.explode(phrases_of(F.col("text"))).alias("phrase")).distinct()
-    linked = graph.search(dp.join(telling, "phrase").select("document_id", "phrase"), asked).select(F.lit("graph").alias("list"), "query_id", F.col("document_id").alias("chunk_id"), "rank")
+    graph = linked(spark, d).select(F.lit("graph").alias("list"), "query_id", F.col("document_id").alias("chunk_id"), "rank")
     found = r.top(r.lexical(*governed(spark, d)), 12, "lexical").select(F.lit("lexical").alias("list"), "query_id", "chunk_id", "rank")
-    return r.rrf(found.unionByName(linked)).drop("lists")
+    return r.rrf(found.unionByName(graph)).drop("lists")
 
 
 @query()
@@ -183,8 +170,7 @@ def newline_chunks(spark, d):
 
 
 def _stream_root(spark) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tessera-stream-')}"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark, d, transform) -> "object":
@@ -219,9 +205,9 @@ def checkpoint_versions(spark, d):
     return e.select("run_id", "event_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("version"), (F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) == 1).alias("is_latest"))
 
 
-@query("SELECT o_orderkey || ':' || k AS chunk_id, 'user:' || o_custkey AS acl, 'case-' || o_orderkey AS kb, ('Evidence ' || k || ' of order ' || o_orderkey || ': ' || o_orderpriority)[:40] AS text FROM orders, range(1, 3) x(k) WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey || ':' || k AS chunk_id, 'user:' || o_custkey AS acl, 'case-' || o_orderkey AS kb, ('Evidence ' || k || ' of order ' || o_orderkey || ': ' || o_orderpriority)[:40] AS text FROM orders, range(1, 3) x(k)")
 def evidence_chunks(spark, d):
     """Evidence references of a case as private chunks of a knowledge base of its own."""
-    o = c.table(spark, d, "orders").where("o_orderkey % 2 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    o = c.table(spark, d, "orders").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
     text = F.concat(F.lit("Evidence "), "k", F.lit(" of order "), "o_orderkey", F.lit(": "), "o_orderpriority")
     return o.select(F.concat("o_orderkey", F.lit(":"), "k").alias("chunk_id"), F.concat(F.lit("user:"), "o_custkey").alias("acl"), F.concat(F.lit("case-"), "o_orderkey").alias("kb"), F.substring(text, 1, 40).alias("text"))

@@ -10,14 +10,11 @@ from ..sources import corpus as c
 from . import sql
 from .catalog import query
 
-_ASCII = "strlen(text) = length(text)"
-_PH = r"'\b[A-Z][a-zA-Z]*(?:[ -][A-Z][a-zA-Z]*){0,2}\b'"
-_DP = f"dp AS (SELECT DISTINCT doc_id AS document_id, unnest(regexp_extract_all(text, {_PH})) AS phrase FROM documents WHERE {_ASCII})"
+_DP = f"dp AS (SELECT DISTINCT doc_id AS document_id, unnest({sql.PHRASES}) AS phrase FROM documents)"
 
 
 def _doc_phrases(spark, d):
-    docs = c.table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    return g.document_phrases(docs.select(F.col("doc_id").alias("document_id"), "text"))
+    return g.document_phrases(c.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 @query(f"WITH {_DP} SELECT phrase, count(*) AS n_documents, min(document_id) AS first_document FROM dp GROUP BY phrase")
@@ -25,29 +22,35 @@ def phrase_documents(spark, d):
     return _doc_phrases(spark, d).groupBy("phrase").agg(F.count(F.lit(1)).alias("n_documents"), F.min("document_id").alias("first_document"))
 
 
-@query(f"WITH {_DP}, rare AS (SELECT phrase FROM dp GROUP BY phrase HAVING count(*) BETWEEN 2 AND 4), r AS (SELECT * FROM dp WHERE phrase IN (SELECT phrase FROM rare)) SELECT DISTINCT x.document_id AS a, y.document_id AS b FROM r x JOIN r y ON x.phrase = y.phrase AND x.document_id < y.document_id")
+@query(f"WITH {_DP} SELECT DISTINCT x.document_id, y.document_id AS neighbour FROM dp x JOIN dp y ON x.phrase = y.phrase AND x.document_id <> y.document_id WHERE x.document_id % 100 = 0")
 def cooccur_edges(spark, d):
+    """All edges of the stated query set (ids divisible by 100), against all documents."""
     dp = _doc_phrases(spark, d)
-    rare = dp.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n BETWEEN 2 AND 4").select("phrase")  # telling phrases: edges stay linear
-    return g.edges(dp.join(rare, "phrase").select("document_id", "phrase"))
+    return g.edges_of(dp, dp.where("document_id % 100 = 0"))
 
 
-_SEARCH = f"""{_DP}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, {_PH})) AS phrase FROM benchmark WHERE {_ASCII}), tell AS (SELECT phrase FROM dp GROUP BY phrase HAVING count(*) <= 20),
-    t AS (SELECT * FROM dp WHERE phrase IN (SELECT phrase FROM tell)), seeds AS (SELECT DISTINCT query_id, document_id AS seed FROM q JOIN t USING (phrase)),
-    near AS (SELECT DISTINCT query_id, seed, y.document_id FROM seeds JOIN t x ON x.document_id = seed JOIN t y ON y.phrase = x.phrase AND y.document_id <> seed),
-    v AS (SELECT query_id, document_id, sum(w)::BIGINT AS contribution FROM (SELECT query_id, seed AS document_id, 2 AS w FROM seeds UNION ALL SELECT query_id, document_id, 1 FROM near) GROUP BY ALL)"""
+@query(f"WITH {_DP}, e AS (SELECT DISTINCT x.document_id AS a, y.document_id AS b FROM dp x JOIN dp y ON x.phrase = y.phrase AND x.document_id < y.document_id) SELECT (SELECT count(*) FROM documents) AS nodes, (SELECT count(*) FROM e) AS edges")
+def graph_size(spark, d):
+    return g.size(c.table(spark, d, "documents").select(F.col("doc_id").alias("document_id")), _doc_phrases(spark, d))
 
 
-@query(f"WITH {_SEARCH} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, document_id)::INT AS rank FROM v) WHERE rank <= 12")
+GRAPH_VOTES = f"""{_DP}, gq AS (SELECT DISTINCT item_id AS query_id, unnest({sql.PHRASES}) AS phrase FROM benchmark), seeds AS (SELECT DISTINCT query_id, document_id AS seed FROM gq JOIN dp USING (phrase)),
+    adj AS (SELECT DISTINCT x.document_id AS seed, y.document_id FROM dp x JOIN dp y ON y.phrase = x.phrase AND y.document_id <> x.document_id WHERE x.document_id IN (SELECT seed FROM seeds)),
+    gv AS (SELECT query_id, document_id, sum(w)::BIGINT AS contribution FROM (SELECT query_id, seed AS document_id, 2 AS w FROM seeds UNION ALL SELECT query_id, document_id, 1 FROM seeds JOIN adj USING (seed)) GROUP BY ALL)"""
+
+
+def linked(spark, d):
+    """Documents of the phrase graph per benchmark item."""
+    asked = c.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(phrases_of(F.col("text"))).alias("phrase")).distinct()
+    return g.search(_doc_phrases(spark, d), asked)
+
+
+@query(f"WITH {GRAPH_VOTES} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY contribution DESC, document_id)::INT AS rank FROM gv) WHERE rank <= 12")
 def cooccur_search(spark, d):
-    dp = _doc_phrases(spark, d)
-    telling = dp.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n <= 20").select("phrase")
-    items = c.table(spark, d, "benchmark").where(F.octet_length("text") == F.length("text"))
-    asked = items.select(F.col("item_id").alias("query_id"), F.explode(phrases_of(F.col("text"))).alias("phrase")).distinct()
-    return g.search(dp.join(telling, "phrase").select("document_id", "phrase"), asked)
+    return linked(spark, d)
 
 
-_GRAPH = """n AS (SELECT p_partkey AS id, p_partkey % 7 <> 0 AS ok FROM part), e0 AS (SELECT l_orderkey * 10 + l_linenumber AS rel, l_partkey AS s, (l_partkey * 7 + l_linenumber) % (SELECT max(p_partkey) FROM part) + 1 AS t FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber <> 4),
+_GRAPH = """n AS (SELECT p_partkey AS id, p_partkey % 7 <> 0 AS ok FROM part), e0 AS (SELECT l_orderkey * 10 + l_linenumber AS rel, l_partkey AS s, (l_partkey * 7 + l_linenumber) % (SELECT max(p_partkey) FROM part) + 1 AS t FROM lineitem WHERE l_linenumber <> 4),
     e AS (SELECT rel, s AS u, t AS v FROM e0 UNION ALL SELECT rel, t, s FROM e0), k AS (SELECT e.* FROM e JOIN n a ON a.id = u AND a.ok JOIN n b ON b.id = v AND b.ok),
     s AS (SELECT id AS seed FROM n WHERE ok AND id % 100 = 1), one AS (SELECT seed, v AS target, [rel] AS rels FROM s JOIN k ON seed = u WHERE v <> seed),
     two AS (SELECT seed, k.v AS target, list_append(rels, k.rel) AS rels FROM one JOIN k ON target = u WHERE NOT list_contains(rels, k.rel) AND k.v <> seed)"""
@@ -58,7 +61,7 @@ def graph_paths_2hop(spark, d):
     parts = c.table(spark, d, "part").select(F.col("p_partkey").alias("entity_id"))
     most = parts.agg(F.max("entity_id")).scalar()
     k = F.col("l_partkey")
-    relations = c.table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(
+    relations = c.table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relationship_id"), F.when(F.col("l_linenumber") == 4, "MENTIONS").otherwise("CITES").alias("relationship_type"),
         k.alias("source_id"), ((k * 7 + F.col("l_linenumber")) % most + 1).alias("target_id"),
     )

@@ -16,11 +16,19 @@ CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, 't' || (doc_id % 3) AS tenant_
 SEEN = "tenant_id = 't1' AND list_has_any(acl, ['tenant', 'tenant:t1', 'user:u1', 'role:reviewer', 'group:g2'])"
 VALID = "(valid_from IS NULL OR valid_from <= TIMESTAMP '2024-02-15') AND (valid_until IS NULL OR valid_until > TIMESTAMP '2024-02-15')"
 SCOPED = f"{CHUNKS}, scoped AS (SELECT * FROM chunks WHERE {SEEN} AND {VALID})"
-QUERIES = f"queries AS (SELECT item_id AS query_id, item_id % 4 AS category, array_to_string(list_slice({tok('text')}, 1, 8), ' ') AS query FROM benchmark)"
+QUERIES = "queries AS (SELECT item_id AS query_id, item_id % 4 AS category, text AS query FROM benchmark)"
 TERMS = f"""qt AS (SELECT query_id, t.term, min(t.pos) - 1 AS pos FROM (SELECT query_id, unnest(list_zip(range(1, len(x) + 1), x)) AS z FROM (SELECT query_id, {tok('query')} AS x FROM queries)) s,
     LATERAL (SELECT z[2] AS term, z[1] AS pos) t GROUP BY ALL)"""
 
 
+def ascii_words(column: str) -> str:
+    """A text in which letters and digits beyond ASCII are underscores: RE2 knows word boundaries of ASCII words only."""
+    return rf"regexp_replace({column}, '[^\P{{L}}A-Za-z]|[^\P{{N}}0-9]', '_', 'g')"
+
+
+PHRASES = rf"regexp_extract_all({ascii_words('text')}, '\b[A-Z][a-zA-Z]*(?:[ -][A-Z][a-zA-Z]*){{0,2}}\b')"
+
+
 def docs(source: str, where: str = "true", extra: str = "") -> str:
     """docs(chunk_id, tokens, length) of a relation."""
     return f"docs AS (SELECT chunk_id, {extra} {tok('text')} AS tokens, len({tok('text')}) AS length FROM {source} WHERE {where})"

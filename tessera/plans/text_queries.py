@@ -32,11 +32,11 @@ def answer_normal_form(spark, d):
 
 
 @query(
-    r"SELECT doc_id AS document_id, len(x) AS n_phrases, md5(array_to_string(list_sort(x), '|')) AS phrases_md5 FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '\b[A-Z][a-zA-Z]*(?:[ -][A-Z][a-zA-Z]*){0,2}\b')) AS x FROM documents WHERE strlen(text) = length(text))"
+    f"SELECT doc_id AS document_id, len(x) AS n_phrases, md5(array_to_string(list_sort(x), '|')) AS phrases_md5 FROM (SELECT doc_id, list_distinct({sql.PHRASES}) AS x FROM documents)"
 )
 def phrases(spark, d):
     x = t.phrases(F.col("text"))
-    return _docs(spark, d).where(F.octet_length("text") == F.length("text")).select("document_id", F.size(x).alias("n_phrases"), F.md5(F.array_join(F.array_sort(x), "|")).alias("phrases_md5"))
+    return _docs(spark, d).select("document_id", F.size(x).alias("n_phrases"), F.md5(F.array_join(F.array_sort(x), "|")).alias("phrases_md5"))
 
 
 @query("SELECT doc_id AS document_id, (unnest(range(CASE WHEN length(text) <= 1000 THEN 1 ELSE ceil((length(text) - 1000) / 900)::BIGINT + 1 END)))::INT AS idx, md5(substring(text, idx * 900 + 1, 1000)) AS text_md5 FROM documents WHERE length(text) > 0")
