@@ -7,6 +7,7 @@ the reach of ``lower`` (compatibility characters, full case folding).
 from __future__ import annotations
 
 import unicodedata
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,6 +67,42 @@ def version_key(version: Column) -> Column:
     )
 
 
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(text: Column) -> Column:
+    """A text without blanks of any kind at either end."""
+    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+
+
+def plain(text: Column) -> Column:
+    """A text as it is stored: CRLF and CR as line feeds, no blanks at the ends of lines. (NFKC is ``fold_exact``'s part.)"""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?m)[\s\x1c-\x1f\x85\p{Z}&&[^\n]]+$", "")
+
+
+def comparison_key(text: Column) -> Column:
+    """What is compared of a text: folded, without blanks."""
+    return F.regexp_replace(fold(text), _BLANK, "")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version-5 UUID of a name: SHA-1 of the namespace and the name, with the version and variant bits set."""
+    space = uuid.UUID(namespace).bytes
+    h = F.sha1(F.concat(F.lit(space), F.encode(name, "utf-8")))
+    variant = F.substring(F.lit("89ab89ab89ab89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a relative path stays below its root: not empty or absolute, no drive, back slash, NUL or parent step."""
+    return (path != "") & ~path.rlike(r"^(?:/|~|[A-Za-z]:)") & ~path.rlike(r"[\\\x00]") & ~path.rlike(r"(?:^|/)\.\.(?:/|$)")
+
+
+def slug(name: Column) -> Column:
+    """Whether a name may be part of a file name: letters, digits, dot, dash and underscore, beginning with a letter or digit."""
+    return name.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")
+
+
 def md5_number(text: Column) -> Column:
     """A 60-bit number from a text's MD5: the same in any engine."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")

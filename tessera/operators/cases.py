@@ -8,6 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
+from .operations import json_keys
+
 #: Metadata keys (letters and digits only) that a caller may not set.
 RESERVED_KEYS = ("workspaceroot", "workspacepath", "artifactroot", "artifactpath", "skillpackid", "baseagentprofileid")
 
@@ -39,7 +42,7 @@ def reconciled(claims: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def evidence_header(title: Column, source: Column, published: Column) -> Column:
     """Heading lines for those of the three that are not blank."""
-    line = lambda name, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{name}: "), F.trim(c)))
+    line = lambda name, c: F.when(stripped(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"{name}: "), stripped(c)))
     return F.concat_ws("\n", line("title", title), line("source", source), line("published_at", published))
 
 
@@ -87,9 +90,8 @@ def private_memory(rows: DataFrame, now: datetime) -> DataFrame:
 
 
 def reserved_keys(json_map: Column) -> Column:
-    """Whether a JSON object has a reserved key, compared by its letters and digits."""
-    keys = F.map_keys(F.from_json(json_map, "map<string,string>"))
-    return F.exists(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(list(RESERVED_KEYS)))
+    """Whether a JSON text has a reserved key at any depth, compared by its letters and digits."""
+    return F.exists(json_keys(json_map), lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "").isin(list(RESERVED_KEYS)))
 
 
 def union_box(boxes: DataFrame, by: str, width: float, height: float) -> DataFrame:

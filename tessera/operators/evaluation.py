@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_answer
+from .staging import staged
 
 
 def case_metrics(cases: DataFrame, retrieved: DataFrame, relevant: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
@@ -15,6 +16,7 @@ def case_metrics(cases: DataFrame, retrieved: DataFrame, relevant: DataFrame, ks
 
     ``cases`` (case_id, category), ``retrieved`` (case_id, doc, rank from 1), ``relevant`` (case_id, doc), distinct.
     """
+    retrieved = staged(retrieved.select("case_id", "doc", "rank"), "retrieved")  # top-k rows, read twice
     sizes = relevant.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     hits = retrieved.join(relevant, ["case_id", "doc"])
     at = []

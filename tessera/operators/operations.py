@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import back_off
+from ..functions.text import stripped
 
 #: Fixed values.
 SUCCESS = ("ok", "success", "succeeded", "completed")
@@ -25,10 +26,29 @@ SECRET_VALUE = (
 SECRET_ASSIGNMENT = r"(?i)\b(password|passwd|secret|api[_-]?key|authorization|cookie|access[_-]?token|refresh[_-]?token)\s*[:=]\s*\S+"
 
 
+def words_of(pattern: str) -> str:
+    """A pattern whose word boundaries (all before words) see letters and digits of any alphabet."""
+    return pattern.replace(r"\b", r"(?<![\p{L}\p{N}_])")
+
+
+def secret_like(text: Column) -> Column:
+    return text.rlike(words_of(SECRET_VALUE))
+
+
+def json_keys(tree: Column) -> Column:
+    """The keys at any depth of a JSON text: strings that a colon follows."""
+    return F.regexp_extract_all(tree, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+
+
+def secret_tree(tree: Column) -> Column:
+    """Whether a JSON text has a secret-like key or value at any depth."""
+    return F.exists(json_keys(tree), lambda k: k.rlike(SECRET_KEY)) | secret_like(tree)
+
+
 def redacted(text: Column, most: int = 500) -> Column:
     """Text without secret-like values, cut to ``most`` characters."""
-    out = F.regexp_replace(F.regexp_replace(text, SECRET_VALUE, "[REDACTED]"), SECRET_ASSIGNMENT, "$1=[REDACTED]")
-    return F.substring(F.trim(out), 1, most)
+    out = F.regexp_replace(F.regexp_replace(text, words_of(SECRET_VALUE), "[REDACTED]"), words_of(SECRET_ASSIGNMENT), "$1=[REDACTED]")
+    return F.substring(stripped(out), 1, most)
 
 
 def audit_metrics(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:

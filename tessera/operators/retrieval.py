@@ -7,11 +7,18 @@ the same rows come out whatever the partitioning.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores
 from ..functions.text import tokens
+from .staging import staged
 
 DIGITS = 6
 
@@ -72,6 +79,7 @@ def bm25_padded(docs: DataFrame, terms: DataFrame, queries: DataFrame, k: int =
     Only the first k ids and those of the hits are candidates for padding, so no query meets the whole corpus.
     """
     hits = top(bm25_parts(docs, terms, k1, b).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score")), k).select("query_id", "chunk_id", "score")
+    hits = staged(hits, "hits")  # at most k rows a query, read twice
     # Of the 2k least ids at most k are hits, so at least k remain as padding.
     low = docs.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     packed = low.agg(F.array_sort(F.collect_list("chunk_id")).alias("ids"))  # at most 2k ids
@@ -126,8 +134,11 @@ def neighbours(seeds: DataFrame, links: DataFrame, window: int = 1, decay: float
 
     ``links`` has chunk_id, previous_id, next_id, document_id. A walk stops where a link leaves the document. Seeds come
     first; then per seed all chunks before it and all after it, or breadth first: all seeds' nearest chunks, then the next.
-    A chunk met twice keeps its first place; ``most`` cuts a query's list (the expansion budget).
+    A chunk met twice keeps its first place; ``most`` cuts a query's list (the expansion budget). Where ``links`` numbers a document's
+    chunks (idx, without gaps), the places are computed and met in one join instead of a walk.
     """
+    if "idx" in links.columns:
+        return _placed(_near_by_place(seeds, links, window, decay, breadth_first), most)
     place = lambda side, distance: F.array(F.lit(1), F.lit(distance), "rank", F.lit(side)) if breadth_first else F.array(F.lit(1), "rank", F.lit(side), F.lit(distance))
     found = seeds.select("query_id", "chunk_id", "score", F.array(F.lit(0), "rank", F.lit(0), F.lit(0)).alias("place"))
     at = links.select(F.col("chunk_id").alias("from_id"), "document_id", "previous_id", "next_id")
@@ -141,6 +152,20 @@ def neighbours(seeds: DataFrame, links: DataFrame, window: int = 1, decay: float
             found = found.unionByName(
                 walk.select("query_id", F.col("here").alias("chunk_id"), (F.col("score") * decay**distance).alias("score"), place(side, distance).alias("place"))
             )
+    return _placed(found, most)
+
+
+def _near_by_place(seeds: DataFrame, links: DataFrame, window: int, decay: float, breadth_first: bool) -> DataFrame:
+    home = links.select("chunk_id", "document_id", F.col("idx").alias("at"))
+    located = seeds.join(home, "chunk_id").select("query_id", "score", "rank", "document_id", "at", F.explode(F.sequence(F.col("at") - window, F.col("at") + window)).alias("idx"))
+    near = located.join(links.select("document_id", "idx", "chunk_id"), ["document_id", "idx"])
+    distance = F.abs(F.col("idx") - F.col("at"))
+    kind, side = (distance > 0).cast("int"), F.when(distance == 0, 0).when(F.col("idx") < F.col("at"), 1).otherwise(2)
+    place = F.when(distance == 0, F.array(kind, "rank", F.lit(0), F.lit(0))).otherwise(F.array(kind, distance, "rank", side) if breadth_first else F.array(kind, "rank", side, distance))
+    return near.select("query_id", "chunk_id", (F.col("score") * F.pow(F.lit(decay), distance)).alias("score"), place.alias("place"))
+
+
+def _placed(found: DataFrame, most: int | None) -> DataFrame:
     first = Window.partitionBy("query_id", "chunk_id").orderBy("place")
     kept = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     kept = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
@@ -157,21 +182,34 @@ def feedback_terms(hits: DataFrame, docs: DataFrame, terms: DataFrame, n: int =
     return counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select("query_id", "term", "n_seen", "pos")
 
 
-def dense_top(vectors: DataFrame, asked: DataFrame, k: int, per_block: int = 256, ways: int = 64) -> DataFrame:
+def dense_top(vectors: DataFrame, asked: DataFrame, k: int, per_block: int = 1024, per_part: int = 1 << 16) -> DataFrame:
     """Exact cosine top k: ``asked`` (query_id, vector; a stated query set) against all (chunk_id, vector), block by block.
 
-    Queries are packed in blocks of about ``per_block``, vectors are dealt into ``ways``; every block of queries meets every part of
-    the vectors in one task, keeps k rows for each of its queries there, and only those are ranked again.
+    Queries are dealt into blocks and vectors into parts of bounded size. Every block meets every part in one task, as one matrix product with
+    norms taken once; what may be among the best k there is ranked again, and nothing else travels.
     """
-    n_blocks = asked.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_block)).cast("int")).scalar()
-    packed = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("qv"))).alias("asked"))
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(ways)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    scored = dealt.join(packed, ["block", "part"]).withColumn("q", F.explode("asked")).select(
-        F.col("q.query_id").alias("query_id"), "chunk_id", "part", F.round(scores.cosine(F.col("vector"), F.col("q.qv")), DIGITS).alias("score")
-    )
-    partial = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "chunk_id")
-    return top(scored.withColumn("_n", F.row_number().over(partial)).where(F.col("_n") <= k).drop("_n", "part"), k)
+    n_of = lambda df, each: df.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / each)).cast("int")).scalar()
+    blocks, parts = n_of(asked, per_block), n_of(vectors, per_part)
+    left = vectors.select("chunk_id", "vector", F.pmod(F.xxhash64("chunk_id"), parts).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    right = asked.select("query_id", F.col("vector").alias("qv"), F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+
+    def best(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if held.num_rows and wanted.num_rows:
+            x, y = (np.stack([np.asarray(v, np.float64) for v in t.column(c).to_pylist()]) for t, c in ((held, "vector"), (wanted, "qv")))
+            ids, norms = held.column("chunk_id").to_numpy(), np.linalg.norm(x, axis=1)
+            for query, v in zip(wanted.column("query_id").to_pylist(), y, strict=True):
+                size = norms * np.linalg.norm(v)
+                score = np.divide(x @ v, size, out=np.zeros(len(x)), where=size > 0)
+                enough = np.partition(score, -k)[-k] - 10.0**-DIGITS if len(score) > k else -np.inf  # ties after rounding stay
+                at = np.flatnonzero(score >= enough)
+                for c, values in zip(columns, (np.full(len(at), query), ids[at], score[at]), strict=True):
+                    c.append(values)
+        return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("query_id", "chunk_id", "score"), columns, strict=True)})
+
+    key = ["block", "part"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, "query_id long, chunk_id long, score double")
+    return top(found.withColumn("score", F.round("score", DIGITS)), k)
 
 
 def hash_embedding(terms: DataFrame, dim: int = 64) -> DataFrame:
@@ -185,6 +223,87 @@ def hash_embedding(terms: DataFrame, dim: int = 64) -> DataFrame:
     return summed.select("id", "bucket", F.round(F.when(norm > 0, F.col("value") / norm).otherwise(0.0), DIGITS).alias("value"))
 
 
+def sparse_vectors(terms: DataFrame, buckets: int = 2_147_483_647) -> DataFrame:
+    """(id, bucket, value) of (id, term, tf): term frequencies in hashed dimensions, colliding ones summed. The hash is BLAKE2b of 8 bytes, once per distinct term."""
+    return _hashed(terms, 8).select("id", F.pmod(F.col("hash"), F.lit(buckets)).alias("bucket"), "tf").groupBy("id", "bucket").agg(F.sum("tf").cast("double").alias("value"))
+
+
+def dense_hash_embedding(terms: DataFrame, dim: int = 64) -> DataFrame:
+    """The hash embedding with its own hash, BLAKE2b of 16 bytes: the first 8 name the bucket, the lowest bit of the ninth the sign."""
+    h = _hashed(terms, 16)
+    raw = h.select("id", F.pmod(F.col("hash"), F.lit(dim)).alias("bucket"), (F.when(F.col("sign"), 1.0).otherwise(-1.0) * (1 + F.log("tf"))).alias("value"))
+    summed = raw.groupBy("id", "bucket").agg(F.sum("value").alias("value"))
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("id")))
+    return summed.select("id", "bucket", F.round(F.when(norm > 0, F.col("value") / norm).otherwise(0.0), DIGITS).alias("value"))
+
+
+def _hashed(terms: DataFrame, size: int) -> DataFrame:
+    """``terms`` with the BLAKE2b hash of each (its first 8 bytes, big-endian, as a decimal) and the sign bit after them."""
+
+    @F.pandas_udf(T.StructType([T.StructField("hash", T.DecimalType(20, 0)), T.StructField("sign", T.BooleanType())]))
+    def blake(words: pd.Series) -> pd.DataFrame:
+        from decimal import Decimal
+
+        raw = [hashlib.blake2b(w.encode(), digest_size=size).digest() for w in words]
+        return pd.DataFrame({"hash": [Decimal(int.from_bytes(r[:8], "big")) for r in raw], "sign": [len(r) > 8 and bool(r[8] & 1) for r in raw]})
+
+    of_term = terms.select("term").distinct().withColumn("h", blake("term"))
+    return terms.join(of_term, "term").select("id", "term", "tf", "h.hash", "h.sign")
+
+
+def sparse_top(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Top k by the dot product of sparse vectors (id, bucket, value), over shared buckets only."""
+    q, v = asked.select(F.col("id").alias("query_id"), "bucket", F.col("value").alias("qv")), vectors.select(F.col("id").alias("chunk_id"), "bucket", "value")
+    scored = v.join(q.select("bucket").distinct(), "bucket", "left_semi").join(q, "bucket").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("qv")), DIGITS).alias("score"))
+    return top(scored, k)
+
+
+def hybrid(lists: dict[str, DataFrame], scope_ids: DataFrame, k: int = 10, candidates: int = 25, rrf_k: int = 60) -> DataFrame:
+    """Fusion of ranked lists (query_id, chunk_id, rank), each cut to the scope (chunk_id) before it is cut to its candidates, and the result once more."""
+    ranked = None
+    for name, hits in lists.items():
+        part = hits.join(scope_ids, "chunk_id", "left_semi").where(F.col("rank") <= candidates).select(F.lit(name).alias("list"), "query_id", "chunk_id", "rank")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    return rrf(ranked, rrf_k, k).join(scope_ids, "chunk_id", "left_semi")
+
+
+def embed_with(texts: DataFrame, embed, dimension: int, id_col: str = "id", text: str = "text") -> DataFrame:
+    """(id, vector) by a plugged-in ``embed`` (list of texts to list of vectors), in Arrow batches; a wrong size or a value that is not finite ends the job."""
+
+    def run(batches):
+        for batch in batches:
+            made = [np.asarray(v, np.float64) for v in embed(batch.column(1).to_pylist())]
+            if len(made) != batch.num_rows or any(v.shape != (dimension,) or not np.isfinite(v).all() for v in made):
+                raise ValueError("the embedder broke its contract: one finite vector of the right size for every text")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in made], pa.list_(pa.float64()))], names=["id", "vector"])
+
+    return texts.select(F.col(id_col).alias("id"), text).mapInArrow(run, "id long, vector array<double>")
+
+
+def rerank_with(hits: DataFrame, texts: DataFrame, queries: DataFrame, score, k: int) -> DataFrame:
+    """Hits (query_id, chunk_id, score) in the order of a plugged-in ``score`` (query, texts to numbers): one finite number a text, else the job ends."""
+    rows = hits.select("query_id", "chunk_id", F.col("score").alias("base_score")).join(queries.select("query_id", "query"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            of: dict[str, list[int]] = {}
+            asked, held = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i, q in enumerate(asked):
+                of.setdefault(q, []).append(i)
+            values = np.zeros(len(asked))
+            for q, at in of.items():
+                got = np.asarray(score(q, [held[i] for i in at]), np.float64)
+                if got.shape != (len(at),) or not np.isfinite(got).all():
+                    raise ValueError("the reranker broke its contract: one finite score for every text")
+                values[at] = got
+            out = [*batch.columns[:3], pa.array(values)]
+            yield pa.RecordBatch.from_arrays(out, names=["query_id", "chunk_id", "base_score", "score"])
+
+    made = rows.select("query_id", "chunk_id", "base_score", "query", "text").mapInArrow(run, "query_id long, chunk_id long, base_score double, score double")
+    return top(made.withColumn("score", F.round("score", DIGITS)), k, "score", F.desc("base_score"))
+
+
 def roll_up(hits: DataFrame, document_of: Column, limit: int) -> DataFrame:
     """Chunk hits to documents: a document stands where its first chunk does."""
     first = hits.withColumn("document_id", document_of).groupBy("query_id", "document_id").agg(F.min("rank").alias("first_rank"))

@@ -7,6 +7,7 @@ from ..functions import scores
 from ..functions.text import tokens
 from ..operators import retrieval as r
 from ..operators import scope
+from ..operators.staging import staged
 from ..sources import corpus as c
 from . import sql
 from .catalog import query
@@ -72,15 +73,16 @@ def bm25_field_weighted(spark, d):
 
 
 @query(
-    f"""WITH {sql.CHUNKS}, {sql.QUERIES}, q2 AS (SELECT query_id, category, CASE WHEN query_id % 5 = 0 THEN 'zzzz ' || query_id ELSE query END AS query FROM queries), {sql.TERMS.replace('FROM queries', 'FROM q2')}, {sql.docs('chunks')}, {sql.bm25_parts(1.2)},
+    f"""WITH {sql.CHUNKS}, {sql.QUERIES}, q2 AS (SELECT * FROM queries UNION ALL SELECT -1, 0, 'zzzz'), {sql.TERMS.replace('FROM queries', 'FROM q2')}, {sql.docs('chunks')}, {sql.bm25_parts(1.2)},
     h AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM parts GROUP BY ALL), a AS (SELECT q2.query_id, docs.chunk_id, coalesce(h.score, 0) AS score FROM q2 CROSS JOIN docs LEFT JOIN h ON h.query_id = q2.query_id AND h.chunk_id = docs.chunk_id)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM a) WHERE rank <= 20"""
 )
 def bm25_baseline_padded(spark, d):
-    q = c.queries(spark, d).withColumn("query", F.when(F.col("query_id") % 5 == 0, F.concat(F.lit("zzzz "), F.col("query_id"))).otherwise(F.col("query")))
+    q = c.queries(spark, d).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit(0).cast("long").alias("category"), F.lit("zzzz").alias("query")))  # one without any hit
     return r.bm25_padded(r.documents_of(c.chunks(spark, d)), r.query_terms(q), q, 20)
 
 
+_COSINE = "list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv::DOUBLE[], qv::DOUBLE[])))"
 _LEX = f"""lex AS (SELECT qt.query_id, tf.chunk_id, count(*) AS matched, sum(least(tf.tf, 3) / 3.0::DOUBLE) AS capped FROM qt JOIN tf USING (term) GROUP BY ALL),
     qs AS (SELECT query_id, len(x) AS n, array_to_string(list_sort(x, 'ASC'), ' ') AS unused FROM (SELECT query_id, list_distinct({sql.tok('query')}) AS x FROM queries)),
     qj AS (SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS joined FROM qt GROUP BY ALL),
@@ -95,15 +97,17 @@ def lexical_topk(spark, d):
 
 
 @query(
-    f"""WITH {_LEXICAL}, sem AS (SELECT q.query_id, s.chunk_id, (((s.chunk_id * 7 + q.query_id * 3) % 140) / 100.0 - 0.2)::DOUBLE AS semantic FROM queries q JOIN scoped s ON s.chunk_id % 40 = q.query_id % 40),
-    b AS (SELECT query_id, chunk_id, coalesce(lexical, 0) AS lexical, greatest(0, least(1, coalesce(semantic, 0))) AS semantic FROM lexical FULL JOIN sem USING (query_id, chunk_id)),
+    f"""WITH {_LEXICAL}, sem AS (SELECT query_id, chunk_id, score AS semantic FROM (SELECT query_id, chunk_id, {_COSINE} AS score FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) JOIN (SELECT vec_id AS chunk_id, embedding FROM embeddings WHERE vec_id IN (SELECT chunk_id FROM scoped)) ON true)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 50),
+    b AS (SELECT query_id, chunk_id, coalesce(lexical, 0) AS lexical, greatest(0, least(1, coalesce(round(semantic, 6), 0))) AS semantic FROM lexical FULL JOIN sem USING (query_id, chunk_id)),
     s AS (SELECT *, round((0.7 * lexical + 0.3 * semantic) / (0.7 + 0.3), 6) AS score FROM b) SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 )
 def lexical_semantic_blend(spark, d):
+    """Lexical scores of all matched chunks with the semantic scores of the 50 visible chunks nearest to each query."""
     docs, terms, q = governed(spark, d)
-    pairs = q.select("query_id", (F.col("query_id") % 40).alias("m")).join(docs.select("chunk_id", (F.col("chunk_id") % 40).alias("m")), "m")
-    semantic = pairs.select("query_id", "chunk_id", ((F.col("chunk_id") * 7 + F.col("query_id") * 3) % 140 / 100 - 0.2).alias("semantic"))
-    return r.top(r.blend(r.lexical(docs, terms, q), semantic), 10).select("query_id", "chunk_id", "score", "rank")
+    asked = _vectors(spark, d).withColumnRenamed("chunk_id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
+    near = r.dense_top(_vectors(spark, d).join(docs.select("chunk_id"), "chunk_id", "left_semi"), asked, 50)
+    return r.top(r.blend(r.lexical(docs, terms, q), near.select("query_id", "chunk_id", F.col("score").alias("semantic"))), 10).select("query_id", "chunk_id", "score", "rank")
 
 
 _MEM = f"""{sql.MEMORY}, chunks AS (SELECT memory_id AS chunk_id, content AS text, importance, updated_at FROM memory WHERE {_MINE} AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-02-15')),
@@ -195,12 +199,11 @@ def prf_terms(spark, d):
 )
 def prf_bm25(spark, d):
     docs, terms, _ = governed(spark, d)
-    more = r.feedback_terms(r.bm25(docs, terms, 5), docs, terms).select("query_id", "term")
+    more = staged(r.feedback_terms(r.bm25(docs, terms, 5), docs, terms).select("query_id", "term"), "feedback")  # six rows a query
     return r.bm25(docs, terms.select("query_id", "term").unionByName(more), 10)
 
 
-_COS = "list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(qv::DOUBLE[], qv::DOUBLE[])))"
-_DENSE = f"dense AS (SELECT query_id, chunk_id, round({_COS}, 6) AS score FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0) CROSS JOIN (SELECT vec_id AS chunk_id, embedding FROM embeddings))"
+_DENSE = f"dense AS (SELECT query_id, chunk_id, round({_COSINE}, 6) AS score FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0) CROSS JOIN (SELECT vec_id AS chunk_id, embedding FROM embeddings))"
 
 
 def _vectors(spark, d):

@@ -90,19 +90,65 @@ def read_lines(spark, d):
     return _docs(spark, d).select("document_id", F.array_join(F.slice(lines, 2, 3), "\n").alias("body"), (F.size(lines) > 4).alias("truncated"))
 
 
-_RE = ops.SECRET_VALUE.replace("'", "''")
+#: RE2 has no look-behind: what stands before a word is matched with it and put back.
+_BEFORE = r"(^|[^\p{L}\p{N}_])"
+_VALUE = ops.SECRET_VALUE.replace(r"(?:\bBearer", r"(?:\bBearer").replace(r"\b", _BEFORE).replace("'", "''")
+_ASSIGNED = ops.SECRET_ASSIGNMENT.replace(r"\b", _BEFORE)
+_STRIP = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
 
 
-@query(f"SELECT doc_id AS document_id, regexp_matches(text, '{_RE}') AS secret_like FROM documents WHERE strlen(text) = length(text)")
+@query(f"SELECT doc_id AS document_id, regexp_matches(text, '{_VALUE}') AS secret_like FROM documents")
 def secret_scan(spark, d):
-    return _docs(spark, d).where(F.octet_length("text") == F.length("text")).select("document_id", F.col("text").rlike(ops.SECRET_VALUE).alias("secret_like"))
+    return _docs(spark, d).select("document_id", ops.secret_like(F.col("text")).alias("secret_like"))
+
+
+@query(f"SELECT doc_id AS document_id, md5(left(regexp_replace(regexp_replace(regexp_replace(text, '{_VALUE}', '\\1\\2\\3[REDACTED]', 'g'), '{_ASSIGNED}', '\\1\\2=[REDACTED]', 'g'), '{_STRIP}', '', 'g'), 500)) AS redacted_md5 FROM documents")
+def redact(spark, d):
+    return _docs(spark, d).select("document_id", F.md5(ops.redacted(F.col("text"))).alias("redacted_md5"))
+
+
+@query(f"""SELECT event_id, len(list_filter(regexp_extract_all(j, '"((?:[^"\\\\]|\\\\.)*)"\\s*:', 1), lambda k: regexp_matches(k, '{ops.SECRET_KEY}'))) > 0 OR regexp_matches(j, '{_VALUE}') AS secret
+    FROM (SELECT event_id, '{{"a":[{{"' || CASE event_id % 4 WHEN 0 THEN 'api_key' WHEN 1 THEN 'apikeys' WHEN 2 THEN 'note' ELSE 'user-token' END || '": ' || props || '}}],"b":"' || CASE WHEN event_id % 7 = 0 THEN 'password: hunter' ELSE event_type END || '"}}' AS j FROM events)""")
+def secret_tree(spark, d):
+    name = F.element_at(F.array(*map(F.lit, ("api_key", "apikeys", "note", "user-token"))), (F.col("event_id") % 4 + 1).cast("int"))
+    tree = F.concat(F.lit('{"a":[{"'), name, F.lit('": '), "props", F.lit('}],"b":"'), F.when(F.col("event_id") % 7 == 0, "password: hunter").otherwise(F.col("event_type")), F.lit('"}'))
+    return c.table(spark, d, "events").select("event_id", ops.secret_tree(tree).alias("secret"))
+
+
+@query(r"SELECT doc_id AS document_id, md5(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)[ \t\x0B\x0C\x1c-\x1f\x85\p{Z}]+$', '', 'g')) AS plain_md5, md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0B\x1c-\x1f\x85\p{Z}]', '', 'g')) AS key_md5 FROM documents")
+def plain_texts(spark, d):
+    return _docs(spark, d).select("document_id", F.md5(t.plain(F.col("text"))).alias("plain_md5"), F.md5(t.comparison_key(F.col("text"))).alias("key_md5"))
+
+
+@query("SELECT event_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || h[17])::INT % 4 + 1] || h[18:20] || '-' || h[21:32] AS id FROM (SELECT event_id, sha1('\\x6B\\xA7\\xB8\\x11\\x9D\\xAD\\x11\\xD1\\x80\\xB4\\x00\\xC0\\x4F\\xD4\\x30\\xC8'::BLOB || ('event:' || event_id)::BLOB) AS h FROM events)")
+def name_uuids(spark, d):
+    return c.table(spark, d, "events").select("event_id", t.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("event:"), "event_id")).alias("id"))
+
+
+@query(r"SELECT page_id, path <> '' AND NOT regexp_matches(path, '^(?:/|~|[A-Za-z]:)|[\\\x00]|(?:^|/)\.\.(?:/|$)') AS safe, regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS slug FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '../' WHEN 1 THEN '/' ELSE '' END || coalesce(split_part(url, '://', 2), '') AS path, coalesce(split_part(split_part(url, '://', 2), '/', 1), '') AS name FROM pages)")
+def path_checks(spark, d):
+    rest = F.coalesce(F.split_part("url", F.lit("://"), F.lit(2)), F.lit(""))
+    path = F.concat(F.when(F.col("page_id") % 5 == 0, "../").when(F.col("page_id") % 5 == 1, "/").otherwise(""), rest)
+    return c.table(spark, d, "pages").select("page_id", t.safe_path(path).alias("safe"), t.slug(F.split_part(rest, F.lit("/"), F.lit(1))).alias("slug"))
 
 
 @query(
-    f"SELECT doc_id AS document_id, md5(left(trim(regexp_replace(regexp_replace(text, '{_RE}', '[REDACTED]', 'g'), '{ops.SECRET_ASSIGNMENT}', '\\1=[REDACTED]', 'g')), 500)) AS redacted_md5 FROM documents WHERE strlen(text) = length(text)"
+    r"""WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations),
+    s AS (SELECT conv_id, turn, words, 1 AS i, 1 AS lines, length(words[1]) AS used FROM w WHERE len(words) > 0
+      UNION ALL SELECT conv_id, turn, words, i + 1, CASE WHEN used + 1 + length(words[i + 1]) <= 60 THEN lines ELSE lines + 1 END, CASE WHEN used + 1 + length(words[i + 1]) <= 60 THEN used + 1 + length(words[i + 1]) ELSE length(words[i + 1]) END FROM s WHERE i < len(words)),
+    l AS (SELECT conv_id, turn, lines, string_agg(words[i], ' ' ORDER BY i) AS line FROM s GROUP BY ALL)
+    SELECT conv_id, turn, max(lines)::INT AS n_lines, md5(string_agg(line, chr(10) ORDER BY lines)) AS lines_md5 FROM l GROUP BY ALL"""
 )
-def redact(spark, d):
-    return _docs(spark, d).where(F.octet_length("text") == F.length("text")).select("document_id", F.md5(ops.redacted(F.col("text"))).alias("redacted_md5"))
+def wrapped_lines(spark, d):
+    lines = chunking.wrapped(F.col("text"), 60)
+    return c.table(spark, d, "conversations").select("conv_id", "turn", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("lines_md5")).where("n_lines > 0")
+
+
+@query("SELECT l_orderkey AS page, l_linenumber AS block_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey % 5, l_partkey % 4, l_partkey % 2, l_linenumber)::INT AS reading_order FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)")
+def layout_order(spark, d):
+    lines = c.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    blocks = lines.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block_id"), (F.col("s") % 5).alias("top"), (F.col("p") % 4).alias("x0"), F.when(F.col("p") % 2 == 0, "paragraph").otherwise("table").alias("kind"))
+    return chunking.layout_order(blocks).select("page", "block_id", "reading_order")
 
 
 @query("SELECT n_nationkey AS id, '| ' || n_name || ' | ' || n_regionkey || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| a\\|b |  |' AS markdown FROM nation")
