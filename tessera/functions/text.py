@@ -58,6 +58,17 @@ def subqueries(text: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(clean(text)), quoted), lambda x: x != ""))
 
 
+def composed_query(*pieces: Column) -> Column:
+    """Pieces of a request (query, goal, hints) joined by blanks: blank ones go, and of those equal but for case the first stays."""
+    some = F.filter(F.array(*(F.coalesce(stripped(p), F.lit("")) for p in pieces)), lambda p: p != "")
+    begin = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.when(F.array_contains(acc["seen"], fold(p)), acc).otherwise(F.struct(F.array_append(acc["seen"], fold(p)).alias("seen"), F.array_append(acc["out"], p).alias("out")))
+
+    return F.array_join(F.aggregate(some, begin, step)["out"], " ")
+
+
 def version_key(version: Column) -> Column:
     """A key that orders versions naturally: runs of digits as numbers, and before runs of text."""
     parts = F.regexp_extract_all(version, F.lit("[0-9]+|[^0-9]+"), F.lit(0))

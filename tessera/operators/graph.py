@@ -146,3 +146,37 @@ def gate(evidence: DataFrame, metric: str = "recall_at_5", threshold: float = 0.
         .otherwise("gate_passed")
     )
     return evidence.withColumn("reason", reason).withColumn("opened", F.col("reason") == "gate_passed")
+
+
+def governed_paths(entities: DataFrame, relations: DataFrame, seeds: DataFrame, ok: Column, limit: int, hops: int = 2) -> DataFrame:
+    """(query_id, seed, target, hops, score, relations, rank): the best paths per query, by score and then target, each target once.
+
+    ``ok`` (tenant, access, version, validity: columns that entities and relations share) holds for every node and every relation of a path. A path's score
+    is the product of its relations' weights, halved for a second hop.
+    """
+    found = paths(entities, relations, seeds, ok, ok, hops)
+    weight = relations.select(F.col("relationship_id").alias("rel"), "weight")
+    numbered = found.withColumn("path", F.xxhash64("query_id", "seed", F.col("relations").cast("string")))
+    scored = numbered.select("query_id", "seed", "target", "hops", "relations", "path", F.explode("relations").alias("rel")).join(weight, "rel")
+    product = scored.groupBy("query_id", "seed", "target", "hops", "relations", "path").agg(F.product("weight").alias("w"))
+    score = F.round(F.col("w") * F.when(F.col("hops") == 2, 0.5).otherwise(1.0), 6)
+    one = product.withColumn("score", score).withColumn("n", F.row_number().over(Window.partitionBy("query_id", "target").orderBy(F.desc("score"), "hops", "relations"))).where("n = 1")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "target")
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "seed", "target", "hops", "score", "relations", "rank")
+
+
+def fuse(hybrid: DataFrame, graph: DataFrame, gates: DataFrame, sizes: DataFrame, most_items: int, most_chars: int, graph_weight: float = 0.8, k: int = 60) -> DataFrame:
+    """(query_id, item, score, provenance, position): ranked lists (query_id, item, rank) fused by weighted reciprocal ranks, then packed in turn.
+
+    A query whose gate (query_id, opened) is closed uses the hybrid list alone. An item that does not fit what is left of the characters (item, size) is skipped.
+    """
+    from .chunking import budget_skip
+
+    open_ = gates.where("opened").select("query_id")
+    lists = hybrid.select("query_id", "item", "rank", F.lit("hybrid").alias("list")).unionByName(graph.join(open_, "query_id", "left_semi").select("query_id", "item", "rank", F.lit("graph").alias("list")))
+    weight = F.when(F.col("list") == "graph", graph_weight).otherwise(1.0)
+    trail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("list", "rank"))), lambda s: F.concat_ws(":", s["list"], s["rank"].cast("string"))), " ")
+    fused = lists.groupBy("query_id", "item").agg(F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"), trail.alias("provenance")).join(sizes, "item")
+    entry = F.struct((-F.col("score")).alias("less"), "item", "size", "provenance")
+    packed = fused.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("items"))  # two lists of bounded length
+    return packed.select("query_id", F.posexplode(budget_skip(F.col("items"), "size", most_items, most_chars)).alias("at", "x")).select("query_id", F.col("x.item").alias("item"), (-F.col("x.less")).alias("score"), F.col("x.provenance").alias("provenance"), (F.col("at") + 1).alias("position"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +146,93 @@ def capability(requests: DataFrame) -> DataFrame:
 def safety_violation(ok: Column, error: Column) -> Column:
     """A failed tool result whose error is a refusal."""
     return ~ok & F.coalesce(error, F.lit("")).isin(list(SAFETY_ERRORS))
+
+
+def tool_audit(steps: DataFrame) -> DataFrame:
+    """Audit rows of tool results (run_id, step, call_id, tool, ok, reused): a reused receipt counts for no tool and says so; the event id follows from run and call."""
+    event = F.substring(F.sha2(F.concat_ws("\0", F.col("run_id").cast("string"), F.col("call_id").cast("string")), 256), 1, 32)
+    outcome = F.when(F.col("reused"), "reused").when(F.col("ok"), "ok").otherwise("failed")
+    return steps.select(event.alias("event_id"), "run_id", "step", F.when(~F.col("reused"), F.coalesce("tool", F.lit("<unknown>"))).alias("tool"), outcome.alias("outcome"))
+
+
+def reconciled(runs: DataFrame, audit: DataFrame) -> DataFrame:
+    """Terminal runs (run_id, status) whose closing event is not in the audit log yet. Its id follows from run and status, so a retry adds nothing."""
+    event = F.substring(F.sha2(F.concat_ws("\0", F.lit("terminal"), F.col("run_id").cast("string"), "status"), 256), 1, 32)
+    closing = runs.where(F.col("status").isin("completed", "failed", "cancelled")).select(event.alias("event_id"), "run_id", F.concat(F.lit("run."), "status").alias("action"))
+    return closing.dropDuplicates(["event_id"]).join(audit.select("event_id"), "event_id", "left_anti")
+
+
+def usage_totals(steps: DataFrame) -> DataFrame:
+    """Usage per run of (run_id, input_tokens, output_tokens): sums, null where no step carried the figure, and whether any did."""
+    total = lambda c: (F.sum(c).alias(c), (F.count(c) > 0).alias(f"seen_{c}"))
+    return steps.groupBy("run_id").agg(*total("input_tokens"), *total("output_tokens"))
+
+
+def run_summary(scores: DataFrame) -> DataFrame:
+    """One row for a set of scored runs (passed, violations, steps)."""
+    n = F.count(F.lit(1))
+    return scores.agg(n.alias("runs"), F.round(F.count_if("passed") / F.when(n > 0, n), 6).alias("success_rate"), F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"), F.round(F.avg("steps"), 6).alias("average_steps"))
+
+
+def json_faults(rows: DataFrame, text: str = "json", most_depth: int = 50, most_chars: int = 1_000_000, container: str = "{") -> DataFrame:
+    """Rows with ``fault``: why strict loading refuses a JSON text, or null.
+
+    too_long, invalid, container (not the one asked for), number (NaN or infinite), surrogate, depth, or duplicate (a key twice in one object).
+    Runs in Arrow batches: Spark's parsers keep the last of equal keys without a word.
+    """
+    class Refused(ValueError):
+        pass
+
+    def pairs(items: list) -> dict:
+        made = dict(items)
+        if len(made) != len(items):
+            raise Refused("duplicate")
+        return made
+
+    def number(_: str):
+        raise Refused("number")
+
+    def depth_of(value) -> int:
+        deepest, stack = 0, [(value, 1)]
+        while stack:
+            x, d = stack.pop()
+            deepest = max(deepest, d)
+            if deepest > most_depth:
+                return deepest
+            stack += [(y, d + 1) for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ())]
+        return deepest
+
+    def fault(t: str | None) -> str | None:
+        if t is None:
+            return "invalid"
+        if len(t) > most_chars:
+            return "too_long"
+        try:
+            value = json.loads(t, object_pairs_hook=pairs, parse_constant=number)
+        except Refused as e:
+            return str(e)
+        except (ValueError, RecursionError) as e:
+            return "depth" if isinstance(e, RecursionError) else "invalid"
+        if not isinstance(value, dict if container == "{" else list):
+            return "container"
+        if any(0xD800 <= ord(c) < 0xE000 for c in json.dumps(value, ensure_ascii=False)):
+            return "surrogate"
+        return "depth" if depth_of(value) > most_depth else None
+
+    @F.pandas_udf("string")
+    def checked(texts: pd.Series) -> pd.Series:
+        return texts.map(fault, na_action=None)
+
+    return rows.withColumn("fault", checked(text))
+
+
+def rejected(rows: DataFrame, key: str, text: str, number: str, link: str) -> DataFrame:
+    """(key, reason) of rows that break an input rule: blank text, a repeated key, a number that is not finite, a link to itself."""
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    reasons = F.array_compact(
+        F.array(
+            F.when(stripped(F.coalesce(text, F.lit(""))) == "", "blank"), F.when(F.col("_n") > 1, "repeated"),
+            F.when(F.isnan(number) | (F.abs(number) == float("inf")), "not_finite"), F.when(F.col(link) == F.col(key), "self_link"),
+        )
+    )
+    return counted.select(key, F.explode(reasons).alias("reason"))

@@ -170,7 +170,7 @@ def _placed(found: DataFrame, most: int | None) -> DataFrame:
     kept = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     kept = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
     kept = kept if most is None else kept.where(F.col("position") <= most)
-    return kept.withColumn("score", F.round("score", DIGITS)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
+    return kept.withColumn("score", F.round("score", 2 * DIGITS)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
 
 
 def feedback_terms(hits: DataFrame, docs: DataFrame, terms: DataFrame, n: int = 6) -> DataFrame:

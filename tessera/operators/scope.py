@@ -63,10 +63,43 @@ def within(column: str, allowed: Sequence | None) -> Column:
     return F.lit(True) if allowed is None else F.col(column).isin(list(allowed))
 
 
-def scoped(chunks: DataFrame, principal: Principal, now: datetime | None = None, knowledge_bases: Sequence[str] | None = None, versions: Sequence[str] | None = None) -> DataFrame:
-    """The rows a request may use."""
-    keep = visible(principal) & within("kb", knowledge_bases) & within("version", versions)
-    return chunks.where(keep & valid_at(now) if now else keep)
+#: The longest allow-list of a request.
+ALLOW_LIST = 20_000
+
+
+def from_sources(sources: Sequence[str] | None, uri: str = "kb", logical: str = "logical_id") -> Column:
+    """Rows whose source or logical document is asked for; None asks for all."""
+    return F.lit(True) if sources is None else F.col(uri).isin(list(sources)) | F.coalesce(F.col(logical).cast("string"), F.col(uri)).isin(list(sources))
+
+
+def listed(chunks: DataFrame, allow: DataFrame | None, key: str = "chunk_id", most: int = ALLOW_LIST) -> DataFrame:
+    """Rows on an allow-list (a semi join); a list of over ``most`` ids ends the query. None allows all."""
+    if allow is None:
+        return chunks
+    ids = allow.select(key).distinct()
+    n = ids.select(F.count(F.lit(1))).scalar()
+    checked = F.when(n <= most, F.lit(True)).otherwise(F.raise_error(F.lit("the allow-list is too long")).cast("boolean"))
+    return chunks.join(ids, key, "left_semi").where(checked)
+
+
+def scoped(
+    chunks: DataFrame, principal: Principal, now: datetime | None = None, knowledge_bases: Sequence[str] | None = None, versions: Sequence[str] | None = None,
+    version_orders: Sequence[int] | None = None, sources: Sequence[str] | None = None, allow: DataFrame | None = None,
+) -> DataFrame:
+    """The rows a request may use; a filter that is None does not restrict. Without a tenant there are none."""
+    keep = visible(principal) & within("kb", knowledge_bases) & within("version", versions) & within("version_order", version_orders) & from_sources(sources)
+    return listed(chunks.where(keep & valid_at(now) if now else keep), allow)
+
+
+def candidates(chunks: DataFrame, limit: int, by: str = "tenant_id", created: str = "created_at") -> DataFrame:
+    """Candidates in the order of a store: version order and creation descending, then id; ``limit`` (at most 10,000) per tenant."""
+    order = Window.partitionBy(by).orderBy(F.desc("version_order"), F.desc_nulls_last(created), "chunk_id")
+    return chunks.withColumn("position", F.row_number().over(order)).where(F.col("position") <= min(limit, 10_000))
+
+
+def point(chunks: DataFrame, keys: DataFrame, principal: Principal, now: datetime) -> DataFrame:
+    """Rows by key, as far as they are valid and visible."""
+    return scoped(chunks, principal, now).join(keys, "chunk_id", "left_semi")
 
 
 def latest_by_order(chunks: DataFrame, key: str = "logical_id") -> DataFrame:

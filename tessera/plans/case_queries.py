@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import cases, chunking, context, evaluation
+from ..operators import cases, chunking
 from ..operators import retrieval as r
 from ..operators.staging import shared_root
 from ..sources import corpus as c
@@ -136,37 +136,16 @@ def graph_lexical_fused(spark, d):
     return r.rrf(found.unionByName(graph)).drop("lists")
 
 
-@query()
-def ablation_matrix(spark, d):
-    """Stages times cases with one relevance: macro metrics per stage."""
-    docs = r.documents_of(c.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
-    q = c.queries(spark, d)
-    terms = r.query_terms(q)
-    first = r.bm25(docs, terms, 25)
-    stages = {"bm25": first, "bm25_rerank": r.rerank(first, docs, q, 10), "lexical": r.top(r.lexical(docs, terms, q), 10, "lexical")}
-    hits = None
-    for name, found in stages.items():
-        part = found.where("rank <= 10").select(F.concat(F.lit(f"{name}/"), F.col("query_id")).alias("case_id"), F.col("chunk_id").alias("doc"), "rank")
-        hits = part if hits is None else hits.unionByName(part)
-    names = F.array(*map(F.lit, stages))
-    everywhere = lambda df, key: df.withColumn("stage", F.explode(names)).withColumn("case_id", F.concat("stage", F.lit("/"), key))
-    m = evaluation.case_metrics(everywhere(q, "query_id").select("case_id", F.col("stage").alias("category")), hits, everywhere(c.relevance(spark, d), "case_id").select("case_id", "doc"))
-    return evaluation.summary(m, ["recall_10", "rr_10", "ndcg_10"]).where("category IS NOT NULL")
-
-
-@query()
-def context_pack(spark, d):
-    docs, terms, _ = governed(spark, d)
-    hits = r.bm25(docs, terms, 4)
-    texts = c.chunks(spark, d).select("chunk_id", "text", "kb", "version")
-    rows = hits.join(texts, "chunk_id").select("query_id", F.lit("knowledge").alias("kind"), F.col("chunk_id").cast("string").alias("item_id"), F.col("kb").alias("source_uri"), "version", F.col("text").alias("content"), "score")
-    return context.assemble(rows, 1200)
-
-
-@query()
+_END = "CASE WHEN {0} + 800 >= length(text) THEN length(text) WHEN contains(substring(text, {0} + 401, 400), chr(10)) THEN {0} + 400 + length(substring(text, {0} + 401, 400)) - length(regexp_extract(substring(text, {0} + 401, 400), '[^\n]*$')) ELSE {0} + 800 END"
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS a, ({_END.format('0')})::BIGINT AS b FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, text, a2, {_END.format('a2')} FROM (SELECT doc_id, text, greatest(a + 1, b - 100) AS a2, b FROM w) WHERE b < length(text)),
+    c AS (SELECT doc_id, a::INT AS start, b::INT AS "end", regexp_replace(substring(text, a + 1, b - a), '^[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x85\\p{{Z}}]+$', '', 'g') AS body FROM w) SELECT doc_id, start, "end", md5(body) AS text_md5 FROM c WHERE body <> ''"""
+)
 def newline_chunks(spark, d):
     docs = c.table(spark, d, "documents")
-    return docs.select("doc_id", F.inline(chunking.newline_chunks(F.col("text"), 800, 100)))
+    return docs.select("doc_id", F.inline(chunking.newline_chunks(F.col("text"), 800, 100))).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 def _stream_root(spark) -> str:

@@ -199,19 +199,6 @@ def citation_bind(spark, d):
     return o.bind_citations(citations, evidence)
 
 
-@query(
-    """WITH s AS (SELECT user_id AS run_id, event_type AS tool, (ts::DATE - DATE '2024-01-01')::INT AS step FROM events), u AS (SELECT run_id, list_distinct(list(tool)) AS used, max(step) AS steps FROM s GROUP BY ALL),
-    g AS (SELECT run_id, used, steps, len(list_filter(['click', 'view'], lambda x: NOT list_contains(used, x))) AS missing, len(list_filter(['error', 'purge'], lambda x: list_contains(used, x))) AS violations FROM u)
-    SELECT run_id, steps, missing::INT AS missing, violations::INT AS violations, missing = 0 AND violations = 0 AND steps <= 28 AS passed FROM g"""
-)
-def trajectory_score(spark, d):
-    e = c.table(spark, d, "events")
-    steps = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("tool"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("step"))
-    words = lambda *w: F.array(*map(F.lit, w))
-    rules = e.select(F.col("user_id").alias("run_id")).distinct().select("run_id", words("click", "view").alias("required"), words("error", "purge").alias("forbidden"), F.lit(28).alias("most_steps"))
-    return o.score_trajectories(steps, rules)
-
-
 @query("SELECT user_id AS run_id, count(*) AS steps, count_if(event_type = 'click')::BIGINT AS tool_calls, count_if(event_type = 'error')::BIGINT AS failures, round(epoch(max(ts)) - epoch(min(ts)), 3) AS elapsed_s, sum((props->>'$.k')::BIGINT)::BIGINT AS tokens FROM events GROUP BY ALL")
 def runtime_metrics(spark, d):
     is_ = lambda t: F.count_if(F.col("event_type") == t)

@@ -105,8 +105,7 @@ def lexical_topk(spark, d):
 def lexical_semantic_blend(spark, d):
     """Lexical scores of all matched chunks with the semantic scores of the 50 visible chunks nearest to each query."""
     docs, terms, q = governed(spark, d)
-    asked = _vectors(spark, d).withColumnRenamed("chunk_id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
-    near = r.dense_top(_vectors(spark, d).join(docs.select("chunk_id"), "chunk_id", "left_semi"), asked, 50)
+    near = r.dense_top(_vectors(spark, d).join(docs.select("chunk_id"), "chunk_id", "left_semi"), _asked_items(spark, d, q), 50)
     return r.top(r.blend(r.lexical(docs, terms, q), near.select("query_id", "chunk_id", F.col("score").alias("semantic"))), 10).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -164,7 +163,7 @@ _PASSAGE_HITS = f"{sql.PASSAGES}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('passage
     f AS (SELECT query_id, chunk_id, score, 0 AS kind, rank, 0 AS side, 0 AS dist FROM seeds
       UNION ALL SELECT s.query_id, n.chunk_id, s.score * pow(0.75, abs(n.idx - p.idx)), 1, s.rank, CASE WHEN n.idx < p.idx THEN 1 ELSE 2 END, abs(n.idx - p.idx) FROM seeds s JOIN passages p USING (chunk_id) JOIN passages n ON n.document_id = p.document_id AND abs(n.idx - p.idx) BETWEEN 1 AND 2),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY kind, rank, side, dist) AS n FROM f) WHERE n = 1)
-    SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, side, dist)::INT AS position, kind = 0 AS is_seed FROM k"""
+    SELECT query_id, chunk_id, round(score, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY kind, rank, side, dist)::INT AS position, kind = 0 AS is_seed FROM k"""
 )
 def neighbors_expand(spark, d):
     p = passage_docs(spark, d)
@@ -210,6 +209,11 @@ def _vectors(spark, d):
     return c.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
+def _asked_items(spark, d, q):
+    """The vectors that stand for benchmark items: those with their numbers."""
+    return _vectors(spark, d).withColumnRenamed("chunk_id", "query_id").join(q.select("query_id"), "query_id", "left_semi")
+
+
 def _asked(spark, d):
     return _vectors(spark, d).where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
 
@@ -286,7 +290,7 @@ def bounded_score(spark, d):
     f AS (SELECT query_id, chunk_id, score, 0 AS kind, 0 AS dist, rank, 0 AS side FROM seeds
       UNION ALL SELECT s.query_id, n.chunk_id, s.score * pow(0.75, abs(n.idx - p.idx)), 1, abs(n.idx - p.idx), s.rank, CASE WHEN n.idx < p.idx THEN 1 ELSE 2 END FROM seeds s JOIN passages p USING (chunk_id) JOIN passages n ON n.document_id = p.document_id AND abs(n.idx - p.idx) BETWEEN 1 AND 2),
     k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY kind, CASE WHEN kind = 0 THEN rank ELSE dist END, rank, side) AS n FROM f) WHERE n = 1),
-    q AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY kind, CASE WHEN kind = 0 THEN rank ELSE dist END, rank, side)::INT AS position, kind = 0 AS is_seed FROM k) SELECT * FROM q WHERE position <= 7"""
+    q AS (SELECT query_id, chunk_id, round(score, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY kind, CASE WHEN kind = 0 THEN rank ELSE dist END, rank, side)::INT AS position, kind = 0 AS is_seed FROM k) SELECT * FROM q WHERE position <= 7"""
 )
 def neighbors_breadth_first(spark, d):
     p = passage_docs(spark, d)

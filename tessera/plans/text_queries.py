@@ -49,10 +49,21 @@ def block_links(spark, d):
     return c.passages(spark, d).select("chunk_id", "previous_id", "next_id")
 
 
-@query()
+_BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: regexp_replace(x, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), lambda x: x <> '') AS ps FROM (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents)),
+    r AS (SELECT doc_id, ps, 0 AS i, '' AS cur, []::VARCHAR[] AS emit FROM p WHERE len(ps) > 0
+      UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(x) > 600 THEN '' WHEN cur = '' THEN x WHEN length(cur) + 1 + length(x) <= 600 THEN cur || chr(10) || x ELSE right(cur, 100) || chr(10) || x END,
+        CASE WHEN length(x) > 600 THEN list_concat(CASE WHEN cur <> '' THEN [cur] ELSE [] END, list_transform(range(0, ceil((length(x) - 600) / 500)::BIGINT + 1), lambda k: substring(x, k * 500 + 1, 600))) WHEN cur <> '' AND length(cur) + 1 + length(x) > 600 THEN [cur] ELSE [] END
+      FROM (SELECT *, ps[i + 1] AS x FROM r WHERE i < len(ps))),
+    e AS (SELECT doc_id, i, unnest(emit) AS text, generate_subscripts(emit, 1) AS j FROM r UNION ALL SELECT doc_id, i + 1, cur, 1 FROM r WHERE i = len(ps) AND cur <> '' UNION ALL SELECT doc_id, 0, text, 1 FROM p WHERE len(ps) = 0)
+    SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS idx, md5(text) AS text_md5 FROM e"""
+)
 def paragraph_chunks(spark, d):
     chunks = chunking.paragraph_chunks(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), 600, 100)
-    return _docs(spark, d).select("document_id", F.posexplode(chunks).alias("idx", "text"))
+    return _docs(spark, d).select("document_id", F.posexplode(chunks).alias("idx", "text")).withColumn("text_md5", F.md5("text")).drop("text")
 
 
 #: The level of a heading line.
