@@ -24,32 +24,44 @@ def edges_of(doc_phrase: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(other, "phrase").where("document_id != neighbour").select("document_id", "neighbour").distinct()
 
 
-#: Seeds and documents of one task of ``_unions`` and of ``size``.
-SEEDS, DOCUMENTS = 8192, 4096
-
-
-def _union_sizes(held: pa.Table, wanted: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(document, n): of the seeds in ``held`` (seed, phrase), how many share a phrase with each document of ``wanted`` (document_id, phrase)."""
-    numbers = held.column("phrase").combine_chunks().dictionary_encode()
-    row = numbers.indices.to_numpy()
-    seed = np.unique(held.column("seed").to_numpy(), return_inverse=True)[1]
-    bits = np.zeros((len(numbers.dictionary) + 1, seed.max(initial=-1) // 8 + 1), np.uint8)  # the last row is empty
-    np.bitwise_or.at(bits, (row, seed >> 3), (1 << (seed & 7)).astype(np.uint8))
-    place = {p: i for i, p in enumerate(numbers.dictionary.to_pylist())}
-    phrase = np.array([place.get(p, len(place)) for p in wanted.column("phrase").to_pylist()], np.int64)
-    document = wanted.column("document_id").to_numpy()
-    order = np.argsort(document, kind="stable")
-    some, first = np.unique(document[order], return_index=True)
-    counts = np.zeros(len(some), np.int64)
-    step = max(1, (32 << 20) // bits.shape[1])  # rows gathered at a time
-    at = 0
-    while at < len(some):  # whole documents at a time
-        end = max(at + 1, int(np.searchsorted(first, first[at] + step)))
+#: Documents of a block (one bit each) and of a part, of which one task of ``_linked`` and of ``size`` holds one.
+BLOCK, PART = 8192, 4096
+
+
+def _unions(phrases: np.ndarray, places: np.ndarray, width: int, wanted: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, bits): for each document in ``own`` (with phrases ``wanted``) the places, below ``width``, of documents that share a phrase with it."""
+    known, row = np.unique(phrases, return_inverse=True)
+    bits = np.zeros((len(known) + 1, width // 8 + 1), np.uint8)  # the last row is empty
+    np.bitwise_or.at(bits, (row, places >> 3), (1 << (places & 7)).astype(np.uint8))
+    at = np.searchsorted(known, wanted)
+    at = np.where(at < len(known), at, 0)
+    row = np.where(known[at] == wanted, at, len(known)) if len(known) else np.zeros(len(wanted), np.int64)
+    order = np.argsort(own, kind="stable")
+    some, first = np.unique(own[order], return_index=True)
+    out = np.zeros((len(some), bits.shape[1]), np.uint8)
+    step, i = max(1, (32 << 20) // bits.shape[1]), 0  # rows gathered at a time
+    while i < len(some):  # whole documents at a time
+        end = max(i + 1, int(np.searchsorted(first, first[i] + step)))
         last = first[end] if end < len(some) else len(order)
-        gathered = np.bitwise_or.reduceat(bits[phrase[order[first[at] : last]]], first[at:end] - first[at], axis=0)
-        counts[at:end] = np.bitwise_count(gathered).sum(axis=1)
-        at = end
-    return some, counts
+        out[i:end] = np.bitwise_or.reduceat(bits[row[order[first[i] : last]]], first[i:end] - first[i], axis=0)
+        i = end
+    return some, out
+
+
+def _meet(of_blocks: DataFrame, of_parts: DataFrame, blocks: Column, parts: Column) -> DataFrame:
+    """Rows (kind, a, b, block or part) so dealt that every block meets every part, as groups of (block, part)."""
+    one = of_blocks.select("kind", "a", "b", "block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    two = of_parts.select("kind", "a", "b", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "part")
+    return one.unionByName(two).groupBy("block", "part")
+
+
+def _dealt(key: str, ways: Column, name: str) -> Column:
+    return F.pmod(F.xxhash64(key), ways).cast("int").alias(name)
+
+
+def _split(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    kind, a, b = (rows.column(c).to_numpy() for c in ("kind", "a", "b"))
+    return [(a[kind == k], b[kind == k]) for k in range(4)]
 
 
 def search(doc_phrase: DataFrame, asked: DataFrame, seed_weight: int = 2, neighbour_weight: int = 1, limit: int = 12) -> DataFrame:
@@ -57,36 +69,47 @@ def search(doc_phrase: DataFrame, asked: DataFrame, seed_weight: int = 2, neighb
 
     The graph is never built, and no phrase is left out. How many seeds of a query hold a phrase is counted first; the sum and the largest of these
     over a document's phrases bound how many distinct seeds link to it. Only documents whose upper bound reaches the ``limit``-th lower bound of
-    their query are counted exactly, as unions of bit sets in blocks of seeds and parts of documents.
+    their query are counted exactly: as unions of bit sets, block of documents by part of candidates. Phrases are compared by 64-bit hashes.
     """
-    dp = staged(doc_phrase, "document-phrases")
-    seeds = staged(asked.join(dp, "phrase").select("query_id", F.col("document_id").alias("seed")).distinct(), "seeds")
-    of_seed = staged(seeds.join(dp.withColumnRenamed("document_id", "seed"), "seed").select("query_id", "seed", "phrase"), "seed-phrases")
-    held = of_seed.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    dp = staged(doc_phrase.select("document_id", F.xxhash64("phrase").alias("phrase")), "document-phrases")
+    seeds = staged(asked.select("query_id", F.xxhash64("phrase").alias("phrase")).join(dp, "phrase").select("query_id", F.col("document_id").alias("seed")).distinct(), "seeds")
+    held = seeds.join(dp.withColumnRenamed("document_id", "seed"), "seed").groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("n"))
     bounds = held.join(dp, "phrase").groupBy("query_id", "document_id").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.count(F.lit(1)).alias("k"))
     bounds = bounds.join(seeds.select("query_id", F.col("seed").alias("document_id"), F.lit(1).alias("is_seed")), ["query_id", "document_id"], "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(0)))
     low = seed_weight * F.col("is_seed") + neighbour_weight * (F.col("most") - F.col("is_seed"))
     high = seed_weight * F.col("is_seed") + neighbour_weight * (F.col("total") - F.col("is_seed") * F.col("k"))
-    bounds = bounds.select("query_id", "document_id", "is_seed", low.alias("low"), high.alias("high"))
+    bounds = staged(bounds.select("query_id", "document_id", "is_seed", low.alias("low"), high.alias("high")), "bounds")
     nth = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))).where(F.col("n") <= limit).groupBy("query_id").agg(F.min("low").alias("least"), F.max("n").alias("n"))
     near = staged(bounds.join(nth, "query_id").where((F.col("high") >= F.col("least")) | (F.col("n") < limit)).select("query_id", "document_id", "is_seed", "low", "high"), "candidates")
 
     unsure = near.where("low < high").select("query_id", "document_id")
-    blocks = seeds.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / SEEDS).cast("int").alias("blocks"))
-    parts = unsure.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / DOCUMENTS).cast("int").alias("parts"))
-    grid = blocks.join(parts, "query_id")
-    left = of_seed.join(grid, "query_id").select("query_id", "seed", "phrase", F.pmod(F.xxhash64("seed"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    right = unsure.join(grid, "query_id").join(dp, "document_id")
-    right = right.select("query_id", "document_id", "phrase", F.pmod(F.xxhash64("document_id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def unions(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not held.num_rows or not wanted.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "document_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        some, counts = _union_sizes(held, wanted)
-        return pa.table({"query_id": pa.array(np.full(len(some), held.column("query_id")[0].as_py())), "document_id": pa.array(some), "n": pa.array(counts)})
-
-    key = ["query_id", "block", "part"]
-    counted = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(unions, "query_id long, document_id long, n long").groupBy("query_id", "document_id").agg(F.sum("n").alias("linked"))
+    wanted = unsure.select("document_id").distinct()
+    n_of = lambda df, each: F.greatest(F.lit(1), F.ceil(df.select(F.count_distinct("document_id")).scalar() / each).cast("int"))
+    blocks, parts = n_of(dp, BLOCK), n_of(wanted, PART)
+    row = lambda df, kind, a, b, deal: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), deal)
+    # postings and seeds by the block of their document; candidates' phrases and (query, candidate) by the part of the candidate
+    of_blocks = row(dp, 0, "document_id", "phrase", _dealt("document_id", blocks, "block")).unionByName(row(seeds, 1, "query_id", "seed", _dealt("seed", blocks, "block")))
+    of_parts = row(dp.join(wanted, "document_id", "left_semi"), 2, "document_id", "phrase", _dealt("document_id", parts, "part")).unionByName(row(unsure, 3, "query_id", "document_id", _dealt("document_id", parts, "part")))
+
+    def linked(rows: pa.Table) -> pa.Table:
+        (docs, phrases), (queries, seed), (own, asked_for), (query, candidate) = _split(rows)
+        found = [np.zeros(0, np.int64)] * 3
+        if len(docs) and len(seed) and len(query):
+            place, index = np.unique(docs, return_inverse=True)
+            some, unions = _unions(phrases, index, len(place), asked_for, own)
+            order = np.argsort(query, kind="stable")
+            query, candidate = query[order], candidate[order]
+            counts = np.zeros(len(query), np.int64)
+            for q in np.unique(query):
+                bits = np.zeros(unions.shape[1], np.uint8)
+                at = np.searchsorted(place, seed[queries == q])
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                x, y = np.searchsorted(query, (q, q + 1))
+                counts[x:y] = np.bitwise_count(unions[np.searchsorted(some, candidate[x:y])] & bits).sum(axis=1)
+            found = [query, candidate, counts]
+        return pa.table({n: pa.array(v) for n, v in zip(("query_id", "document_id", "n"), found, strict=True)})
+
+    counted = _meet(of_blocks, of_parts, blocks, parts).applyInArrow(linked, "query_id long, document_id long, n long").groupBy("query_id", "document_id").agg(F.sum("n").alias("linked"))
     exact = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(seed_weight * F.col("is_seed") + neighbour_weight * (F.coalesce("linked", F.lit(0)) - F.col("is_seed")))
     total = near.join(counted, ["query_id", "document_id"], "left").select("query_id", "document_id", exact.cast("long").alias("contribution"))
     order = Window.partitionBy("query_id").orderBy(F.desc("contribution"), "document_id")
@@ -95,17 +118,19 @@ def search(doc_phrase: DataFrame, asked: DataFrame, seed_weight: int = 2, neighb
 
 def size(documents: DataFrame, doc_phrase: DataFrame) -> DataFrame:
     """(nodes, edges) of the whole graph: an audit of it. Edges are counted by unions of bit sets, block of documents by block, never listed."""
-    dp = staged(doc_phrase, "document-phrases")
-    n = F.greatest(F.lit(1), F.ceil(dp.select(F.count_distinct("document_id")).scalar() / DOCUMENTS).cast("int"))
-    own = F.pmod(F.xxhash64("document_id"), n).cast("int")
-    left = dp.select(F.col("document_id").alias("seed"), "phrase", own.alias("block"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
-    right = dp.select("document_id", "phrase", own.alias("part"), F.explode(F.sequence(F.lit(0), n - 1)).alias("block"))
-
-    def ends(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        counts = _union_sizes(held, wanted)[1] if held.num_rows and wanted.num_rows else np.zeros(1, np.int64)
-        return pa.table({"n": pa.array([int(counts.sum())])})
-
-    counted = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(ends, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends"))
+    dp = staged(doc_phrase.select("document_id", F.xxhash64("phrase").alias("phrase")), "document-phrases")
+    n = lambda each: F.greatest(F.lit(1), F.ceil(dp.select(F.count_distinct("document_id")).scalar() / each).cast("int"))
+    row = lambda kind, deal: dp.select(F.lit(kind).alias("kind"), F.col("document_id").alias("a"), F.col("phrase").alias("b"), deal)
+
+    def ends(rows: pa.Table) -> pa.Table:
+        (docs, phrases), _, (own, wanted), _ = _split(rows)
+        if not len(docs) or not len(own):
+            return pa.table({"n": pa.array([0])})
+        place, index = np.unique(docs, return_inverse=True)
+        return pa.table({"n": pa.array([int(np.bitwise_count(_unions(phrases, index, len(place), wanted, own)[1]).sum(dtype=np.int64))])})
+
+    met = _meet(row(0, _dealt("document_id", n(BLOCK), "block")), row(2, _dealt("document_id", n(PART), "part")), n(BLOCK), n(PART))
+    counted = met.applyInArrow(ends, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ends"))
     # every document with a phrase meets itself once
     selves = dp.agg(F.count_distinct("document_id").alias("selves"))
     return documents.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(counted).crossJoin(selves).select("nodes", ((F.col("ends") - F.col("selves")) / 2).cast("long").alias("edges"))

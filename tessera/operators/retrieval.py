@@ -34,9 +34,16 @@ def documents_of(chunks: DataFrame, text: str = "text", token_expr: Column | Non
 
 
 def matches(docs: DataFrame, terms: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk_id, term, tf) for the terms asked for."""
+    """(chunk_id, term, tf) for the terms asked for.
+
+    All tokens of a chunk are in its row, so they are counted there, as runs of the sorted tokens: nothing is shuffled for it.
+    """
     wanted = terms.select("term").distinct()
-    return docs.select("chunk_id", *extra, F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    ordered = docs.where(F.size("tokens") > 0).select("chunk_id", *extra, F.array_sort("tokens").alias("_s"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == F.size("_s")) | (F.get("_s", i - 1) != F.get("_s", i)))
+    runs = ordered.select("chunk_id", *extra, "_s", ends.alias("_e"))
+    counted = F.transform("_e", lambda end, j: F.struct(F.get("_s", end - 1).alias("term"), (end - F.when(j == 0, 0).otherwise(F.get("_e", j - 1))).cast("long").alias("tf")))
+    return runs.select("chunk_id", *extra, F.inline(counted)).join(wanted, "term", "left_semi")
 
 
 def top(scored: DataFrame, k: int, score: str = "score", *ties: Column, by: str = "query_id", id_col: str = "chunk_id") -> DataFrame:
@@ -45,13 +52,24 @@ def top(scored: DataFrame, k: int, score: str = "score", *ties: Column, by: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Rows of (query, term) up to which a batch of queries is broadcast; larger batches are joined as any table is.
+QUERY_TERMS = 1_000_000
+
+
+def _small(terms: DataFrame):
+    """A hint for tables of one row per query term or fewer: broadcast, if the batch of queries is small; scores then add up where the postings lie."""
+    return F.broadcast if terms.select("query_id").limit(QUERY_TERMS + 1).count() <= QUERY_TERMS else lambda df: df
+
+
 def bm25_parts(docs: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, term, tf, idf, part): what every query term adds to every chunk with it."""
     n, average = docs.select(F.count(F.lit(1))).scalar(), docs.select(F.avg("length")).scalar()
-    tf = matches(docs, terms, ("length",))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = staged(matches(docs, terms, ("length",)), "postings")  # read for document frequencies and for scores
+    small = _small(terms)
+    terms = small(terms)
+    df = small(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     weighed = tf.join(df, "term").select("chunk_id", "term", "tf", scores.idf(n, F.col("df")).alias("idf"), scores.bm25_term(F.col("tf"), F.col("length"), average, k1, b).alias("tf_part"))
-    return terms.select("query_id", "term").join(weighed, "term").select("query_id", "chunk_id", "term", "tf", "idf", (F.col("idf") * F.col("tf_part")).alias("part"))
+    return weighed.join(terms.select("query_id", "term"), "term").select("query_id", "chunk_id", "term", "tf", "idf", (F.col("idf") * F.col("tf_part")).alias("part"))
 
 
 def bm25(docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -63,12 +81,14 @@ def bm25(docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: flo
 def bm25_by_scope(docs: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """BM25 where every scope (a column of ``docs``) has statistics of its own: one plan for all scopes."""
     stats = docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-    tf = matches(docs, terms, ("scope", "length"))
+    tf = staged(matches(docs, terms, ("scope", "length")), "postings")
+    small = _small(terms)
+    terms = small(terms)
     df = tf.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     weighed = tf.join(df, ["scope", "term"]).join(stats, "scope").select(
         "scope", "chunk_id", "term", (scores.idf(F.col("n"), F.col("df")) * scores.bm25_term(F.col("tf"), F.col("length"), F.col("average"), k1, b)).alias("part")
     )
-    summed = terms.select("query_id", "term").join(weighed, "term").groupBy("scope", "query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
+    summed = weighed.join(terms.select("query_id", "term"), "term").groupBy("scope", "query_id", "chunk_id").agg(F.round(F.sum("part"), DIGITS).alias("score"))
     order = Window.partitionBy("scope", "query_id").orderBy(F.desc("score"), "chunk_id")
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -93,7 +113,7 @@ def lexical(docs: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
     The phrase is the distinct query terms joined by blanks, looked for anywhere in the chunk's joined tokens.
     """
     counted = matches(docs, terms)
-    per = terms.join(counted, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.least("tf", F.lit(3)) / 3.0).alias("capped"))
+    per = counted.join(_small(terms)(terms), "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.least("tf", F.lit(3)) / 3.0).alias("capped"))
     shape = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q")).select("query_id", F.size("q").alias("n"), F.array_join("q", " ").alias("joined"))
     texts = docs.select("chunk_id", F.array_join("tokens", " ").alias("body"))
     both = per.join(shape, "query_id").join(texts, "chunk_id")

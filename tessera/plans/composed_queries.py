@@ -184,7 +184,7 @@ _EVAL = """nr AS (SELECT case_id, count(*) AS n FROM relevant GROUP BY ALL), hit
 )
 def ablation_matrix(spark, d):
     """Stages times cases with one relevance: macro metrics per stage."""
-    docs = r.documents_of(c.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    docs = r.documents_of(c.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
     q = c.queries(spark, d)
     terms = r.query_terms(q)
     first = staged(r.bm25(docs, terms, 25), "first-pass")
@@ -211,6 +211,6 @@ def baseline_run(spark, d):
     q = c.queries(spark, d)
     locked = staged(evaluation.stratified_sample(q.select(F.col("query_id").alias("case_id"), "category"), 24, "7").select("case_id", "category"), "locked")
     mine = q.join(locked.select(F.col("case_id").alias("query_id")), "query_id", "left_semi")
-    docs = r.documents_of(c.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    docs = r.documents_of(c.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
     hits = r.bm25_padded(docs, r.query_terms(mine), mine, 10).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc"), "rank")
     return evaluation.summary(evaluation.case_metrics(locked, hits, c.relevance(spark, d)), ["recall_10", "rr_10", "ndcg_10"])

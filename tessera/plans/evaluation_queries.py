@@ -13,7 +13,7 @@ from .retrieval_queries import governed
 
 def _retrieved(spark, d):
     """Ungoverned BM25 over all documents."""
-    docs = r.documents_of(c.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    docs = r.documents_of(c.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
     terms = r.query_terms(c.queries(spark, d))
     return r.bm25(docs, terms, 10).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc"), "rank")
 

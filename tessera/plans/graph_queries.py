@@ -14,7 +14,7 @@ _DP = f"dp AS (SELECT DISTINCT doc_id AS document_id, unnest({sql.PHRASES}) AS p
 
 
 def _doc_phrases(spark, d):
-    return g.document_phrases(c.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return g.document_phrases(c.documents(spark, d).select(F.col("doc_id").alias("document_id"), "text"))
 
 
 @query(f"WITH {_DP} SELECT phrase, count(*) AS n_documents, min(document_id) AS first_document FROM dp GROUP BY phrase")

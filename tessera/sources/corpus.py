@@ -23,6 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents; a file that makes fewer tasks than half the cores (a small table in one row group) is dealt out before its texts are worked on."""
+    df = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def _days(base: str, n) -> F.Column:
     return F.to_timestamp(F.lit(base)) + F.make_dt_interval(n.cast("int"))
 
@@ -31,7 +38,7 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Knowledge chunks from documents."""
     d = F.col("doc_id")
     acl = F.when(d % 4 == 0, F.array(F.lit("tenant"))).when(d % 4 == 1, F.array(F.lit("user:u1"))).when(d % 4 == 2, F.array(F.lit("role:reviewer"), F.lit("user:u2"))).otherwise(F.array(F.lit("group:g1")))
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         d.alias("chunk_id"), F.concat(F.lit("t"), d % 3).alias("tenant_id"), "text", F.col("source").alias("kb"), F.floor(d / 6).alias("logical_id"),
         (d % 2).alias("version_order"), F.concat(d % 2 + 1, F.lit("."), d % 11).alias("version"), acl.alias("acl"),
         F.when(d % 5 != 0, _days("2024-01-01", d % 60)).alias("valid_from"), F.when(d % 7 == 0, _days("2024-02-01", d % 60)).alias("valid_until"),
@@ -48,13 +55,13 @@ def relevance(spark: SparkSession, folder: str, width: int = 13) -> DataFrame:
     t = F.col("t")
     windows = F.transform(F.when(F.size(t) >= width, F.sequence(F.lit(1), F.size(t) - width + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(t, i, width), " "))
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("case_id"), tokens(F.col("text")).alias("t")).select("case_id", F.explode(windows).alias("w")).distinct()
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("t")).select("doc", F.explode(windows).alias("w"))
+    docs = documents(spark, folder).select(F.col("doc_id").alias("doc"), tokens(F.col("text")).alias("t")).select("doc", F.explode(windows).alias("w"))
     return docs.join(items, "w").select("case_id", "doc").distinct()
 
 
 def passages(spark: SparkSession, folder: str) -> DataFrame:
     """Linked passages of 1,000 characters from documents."""
-    split = hard_split(table(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    split = hard_split(documents(spark, folder).select(F.col("doc_id").alias("document_id"), "text"))
     return links(split.withColumn("chunk_id", F.concat("document_id", F.lit("::chunk::"), F.lpad(F.col("idx").cast("string"), 4, "0"))))
 
 
