@@ -175,6 +175,32 @@ def stream_windows(spark, d):
     return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    """WITH s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR)::INT, 1) AS opens FROM events)),
+    c AS (SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, s.n) SELECT user_id, start, n FROM c WHERE "end" <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+)
+def stream_sessions(spark, d):
+    """Closed sessions: those whose end the watermark has passed."""
+    out = _drained(spark, d, lambda e: streams.sessions(e, "6 hours"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT user_id AS run_id, (max(ts) + INTERVAL 300 SECOND)::TIMESTAMP AS expired_at FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 300 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_lease_expiry(spark, d):
+    """Users as jobs, events as heartbeats: the timers that the watermark, an hour behind the newest event, has passed."""
+    out = _drained(spark, d, lambda e: streams.lease_expiry(e.select(F.col("user_id").alias("run_id"), "ts")))
+    return out.select("run_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def stream_latest(spark, d):
+    schema, root = c.table(spark, d, "events").schema, _stream_root(spark)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_id", "event_type")
+    q = source.writeStream.foreachBatch(streams.keep_latest(f"{root}/out", "user_id", "event_id", 16)).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("user_id", "event_id", "event_type")
+
+
 @query("SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS version, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AS is_latest FROM events")
 def checkpoint_versions(spark, d):
     from pyspark.sql import Window

@@ -22,4 +22,4 @@ def query(oracle: str | None = None):
     return add
 
 
-from . import case_queries, composed_queries, evaluation_queries, graph_queries, operations_queries, retrieval_queries, scope_queries, text_queries, workflow_queries  # noqa: E402, F401
+from . import case_queries, composed_queries, dataset_queries, evaluation_queries, graph_queries, operations_queries, retrieval_queries, scope_queries, text_queries, workflow_queries  # noqa: E402, F401

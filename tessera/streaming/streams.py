@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.staging import staged
+
 
 def event_stream(spark: SparkSession, path: str, per_trigger: int = 16) -> DataFrame:
     """The events of a folder of Parquet files as a stream, with an event-time column Spark can watermark."""
@@ -57,18 +59,33 @@ def lease_expiry(leases: DataFrame, seconds: int = 300, late: str = "1 hour") ->
     return leases.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, "run_id long, expired_at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def keep_latest(target: str, key: str, order: str) -> Any:
-    """A ``foreachBatch`` sink: the newest row per key in the table folder ``target``, written to a new version each time."""
+def keep_latest(target: str, key: str, order: str, buckets: int = 256) -> Any:
+    """A ``foreachBatch`` sink: the newest row per key in the table folder ``target``, partitioned by a hash of the key.
+
+    A batch rewrites the buckets that it touches and no others. Merging the same batch twice changes nothing, so a retry, or a restart from a
+    new checkpoint, is safe.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        previous = f"{target}/v{epoch - 1}"
-        rows = batch if epoch == 0 else batch.unionByName(spark.read.parquet(previous))
-        rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        new = staged(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "latest-batch")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            new = new.unionByName(spark.read.schema(new.schema).parquet(target).where(F.col("bucket").isin(touched)))
+        last = new.groupBy("bucket", key).agg(F.max_by(F.struct(*(c for c in new.columns if c != "bucket")), order).alias("r")).select("r.*", "bucket")
+        staged(last, "latest-merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return merge
 
 
+def late_rows(query: Any) -> int:
+    """How many rows a finished query dropped because the watermark had passed them, from its progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available into an in-memory table and return it."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

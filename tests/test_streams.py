@@ -1,5 +1,6 @@
 """Streams against their batch counterparts."""
 
+import os
 import shutil
 
 import pytest
@@ -36,10 +37,26 @@ def test_sessions_hold_every_event(spark, folder):
     assert out.agg(F.sum("n")).first()[0] == spark.read.parquet(EVENTS).count()
 
 
-def test_keep_latest(spark, folder):
-    stream = streams.event_stream(spark, str(folder / "in"), 1)
-    q = stream.writeStream.foreachBatch(streams.keep_latest(str(folder / "out"), "user_id", "event_id")).option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r.user_id: r.event_id for r in spark.read.parquet(str(folder / "out" / "v1")).collect()}
+@pytest.mark.parametrize("restarts", [1, 2])
+def test_keep_latest(spark, folder, restarts):
+    """Also after a restart that has lost its checkpoint."""
+    for n in range(restarts):
+        stream = streams.event_stream(spark, str(folder / "in"), 1)
+        q = stream.writeStream.foreachBatch(streams.keep_latest(str(folder / "out"), "user_id", "event_id", 8)).option("checkpointLocation", str(folder / f"c{n}")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.user_id: r.event_id for r in spark.read.parquet(str(folder / "out")).collect()}
     want = {r.user_id: r.m for r in spark.read.parquet(EVENTS).groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert got == want
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    source, seen = tmp_path / "in", set()
+    for n, (i, at) in enumerate([(1, "2024-01-01 10:00:00"), (2, "2024-01-05 10:00:00"), (3, "2024-01-05 11:00:00"), (4, "2024-01-01 09:00:00")]):  # the last comes too late
+        spark.createDataFrame([(i, at)], "event_id long, at string").select("event_id", F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
+        for f in set(source.glob("*.parquet")) - seen:
+            os.utime(f, (1_700_000_000 + 60 * n,) * 2)
+            seen.add(f)
+    stream = streams.rolling_metrics(streams.event_stream(spark, str(source), 1))
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert streams.late_rows(q) == 1
