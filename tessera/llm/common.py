@@ -1,37 +1,22 @@
 """Plumbing that the training-data operators share: staged tables, session limits, skew-proof group facts.
 
 Every operator cuts its lineage with a table written below the folder named by ``spark.checkpoint.dir``, so a lost
-executor only costs the tasks it ran. Where that setting is absent (tests, a laptop) a private folder is created once.
+executor only costs the tasks it ran. Where that setting is absent a local session gets a private folder; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_root
+
 #: What separates words everywhere in this subpackage: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
 
-_own_root: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a private one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="tessera-"))
-        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
-    return f"file://{_own_root[0]}"
-
-
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds (very long texts), and drop shuffle files once the query that made them ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

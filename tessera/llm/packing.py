@@ -6,8 +6,9 @@ it enumerates undominated fillings, best-filled first, applies a filling to as m
 and prunes branches whose waste can no longer beat the best-fit-decreasing incumbent. The answer is a list of patterns
 with multiplicities; executors give every piece its rank among pieces of its length, and the rank names its place.
 
-Defined results: a null text is empty and packs as its end id alone; a text longer than a sequence is cut into full
-pieces, the first one taking the remainder; repeated rows are packed each; no rows give no sequences.
+Defined results: a null text is empty and packs as its end id alone; a very long text is cut into full pieces, the first one taking the
+remainder; pieces of equal length take their places by doc_id and piece; repeated rows are packed each; no rows give no sequences; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -39,10 +39,11 @@ def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_shards(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_secret_ledger(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger`` is the folder of a ledger from earlier runs; what it holds is not scanned again."""
     from .secrets import scan_documents
 
-    return scan_documents(_table(spark, sf_dir, "documents"))
+    return scan_documents(_table(spark, sf_dir, "documents"), ledger)
 
 
 def op5_path_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

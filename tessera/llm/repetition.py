@@ -4,8 +4,13 @@ Words are numbered per text, n-gram hashes for all lengths are rolled from one p
 numpy over character offsets. The thresholds are the published repetition limits for web corpora (share of characters
 in the most frequent 2- to 4-gram, and in all duplicated 5- to 10-grams and lines).
 
+Two published limits are read with a text's length in mind, at every size of the table alike: the share of one frequent short n-gram is not judged
+in texts under TOP_FROM_WORDS words, where a few words said twice are a large share, and ALLOWANCE_WORDS words inside duplicates are
+spared, so that one passage said twice is no spam. N-grams count as equal if their 64-bit hashes are.
+
 Defined results: a null text has no words; an empty one neither, and fails the word minimum; very long texts are read
-whole; repeated rows are judged alike; an empty table gives an empty result; other columns pass by unread.
+whole; of n-grams that tie in frequency the one with the most characters counts; repeated rows are judged alike; an empty table gives an empty
+result; other columns, whatever their names, pass by unread.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import tune
+from .words import mix
 
 #: Largest share of characters inside the most frequent n-gram, for n of 2 to 4 (fixed values).
 TOP_SHARE = {2: 0.20, 3: 0.18, 4: 0.16}
@@ -50,13 +56,6 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """Finalise 64-bit hashes, so that near inputs spread."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 class Repetition:
     """Measures one text at a time; keeps the power tables between texts."""
 

@@ -7,8 +7,9 @@ revisions share the blob, appends it to the ledger, and joins findings back to a
 Positions come from the JVM's own regular expressions: the text split by a pattern, and the pattern's matches, alternate, so
 the lengths of what came before give each match its start, in code points.
 
-Defined results: a null text is the empty blob; repeated rows each get their findings; an empty table gives an empty
-result and leaves the ledger as it is.
+Defined results: a null text is the empty blob; very long texts are scanned whole (a text with k matches is walked k times when it is masked);
+spans that start together come in the order of the rules; repeated rows, and several texts under one id, each get their own findings; an
+empty table gives an empty result and leaves the ledger as it is; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ def scan(versions: DataFrame, ledger: str, ws: Workspace, id_col: str = "doc_id"
     texts = source.join(todo.withColumnRenamed("path_id", "at"), F.col("path_id").eqNullSafe(F.col("at"))).where(F.unhex(F.sha2("body", 256)) == F.col("want"))
     fresh = texts.select(F.col("want").alias("blob"), F.lit(rule_version).alias("rule_version"), all_spans(F.col("body"), rules).alias("spans")).dropDuplicates(["blob"])
     fresh.write.mode("append").option("compression", "zstd").parquet(ledger)
-    known = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    # a pair that two runs appended at the same time counts once
+    known = spark.read.parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
     # Copies of one blob may be a third of all rows: findings reach them through (blob, salt) parts. Blobs without any finding need no join.
     parts = F.pmod(F.xxhash64("row_tag"), F.lit(1024)).cast("int")
     salted = paths.withColumn("salt", parts)
@@ -126,7 +128,7 @@ def mask_spans(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def scan_documents(docs: DataFrame) -> DataFrame:
-    """Scan all documents against a new ledger and report per document."""
+def scan_documents(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """Scan all documents against a ledger (a new one, if none is named) and report per document."""
     ws = Workspace(docs.sparkSession, "secrets")
-    return report(scan(docs.withColumn("doc_id", F.col("doc_id").cast("long")), f"{ws.path}/ledger", ws))
+    return report(scan(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ledger or f"{ws.path}/ledger", ws))

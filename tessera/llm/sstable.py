@@ -11,6 +11,9 @@ An entry is shared:u8, kept:u8, value length:u32, key bytes after the shared pre
 entry is a restart with nothing shared, so a block is binary-searched too. Keys are doc_ids as 8 big-endian bytes with the sign
 bit flipped, which sort as the numbers do. Shards are written to a name of the attempt and renamed once whole: a retried
 or duplicated task leaves either the old or the new file, never part of one.
+
+Defined results: a null text is empty and has its end id alone; very long texts are one entry; rows with one doc_id lie beside each other in the
+order of a hash of their texts, those without a doc_id come first; an empty table has no shards; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ if that has labels, else the branch above it. A branch that a two-proportion tes
 it has the parent's purity, so one without labels has that of the next branch with some. Any other has its own, smoothed towards the parent's.
 A suffix is smoothed towards none blocked, so a few labels decide nothing on their own.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path and is allowed; an empty table gives an
-empty result; repeated rows are judged alike; other columns are ignored.
+Defined results: a null URL, or one without ``://``, has an empty host and path and is allowed; very long URLs are judged whole; of rules that tie
+in length the first by name wins; a purity of exactly REJECT_OVER is allowed; an empty table gives an empty result; repeated rows are judged
+alike; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
