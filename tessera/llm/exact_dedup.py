@@ -27,7 +27,7 @@ from .common import BLANKS, Workspace, group_facts
 
 #: What the filters may take up together to be broadcast; beyond it rows go to the filters.
 BROADCAST_BYTES = 64 << 20
-_FLAGGED = "doc_id long, digest binary, n_chars int, row_tag long, maybe_repeated boolean"
+_FLAGGED = "doc_id long, digest binary, n_chars int, text_tag long, row_tag long, maybe_repeated boolean"
 
 
 def _flag_by_broadcast(hashes: DataFrame, filters: DataFrame, rows: int) -> DataFrame:
@@ -62,13 +62,13 @@ def _flag_by_range(hashes: DataFrame, filters: DataFrame, rows: int) -> DataFram
     def test(own: pa.Table, held: pa.Table) -> pa.Table:
         twice = np.frombuffer(held.column("twice")[0].as_py(), np.uint8)
         flags = bloom.all_set(twice, own.column("h").to_numpy(), bits)
-        return own.select(["doc_id", "digest", "n_chars", "row_tag"]).append_column("maybe_repeated", pa.array(flags))
+        return own.select(["doc_id", "digest", "n_chars", "text_tag", "row_tag"]).append_column("maybe_repeated", pa.array(flags))
 
     return left.groupBy("range", "part").cogroup(right.groupBy("range", "part")).applyInArrow(test, _FLAGGED)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and n_chars of the original text)."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and n_chars and text_tag, the xxhash64, of the original text)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "exact-dedup")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -77,6 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.col(id_col).cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.regexp_replace(text, BLANKS + "+", ""), 256)).alias("digest"),
             F.length(text).alias("n_chars"),
+            F.xxhash64(text).alias("text_tag"),
             F.monotonically_increasing_id().alias("row_tag"),
         ),
         "hashed",
@@ -90,7 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     suspects = group_facts(
         flagged.where("maybe_repeated"), ["digest"], ["row_tag"], [("best", best, F.min("best")), ("group_size", F.count(F.lit(1)), F.sum("group_size"))]
     )
-    columns = lambda keep_id, size, kept: ["doc_id", keep_id.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars"]
+    columns = lambda keep_id, size, kept: ["doc_id", keep_id.alias("keep_id"), size.cast("long").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars", "text_tag"]
     return suspects.select(columns(F.col("best.doc_id"), F.col("group_size"), F.col("best.row_tag") == F.col("row_tag"))).unionByName(
         flagged.where("NOT maybe_repeated").select(columns(F.col("doc_id"), F.lit(1), F.lit(True)))
     )

@@ -201,7 +201,8 @@ def block_links(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, sets:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_tag"))
 
 
 def _elements(found: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -210,7 +211,7 @@ def _elements(found: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHINGLE, counted: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept (one row a class), n_copies, n_links.
+    """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size, kept (one row a class), n_copies, n_links, text_tag (xxhash64 of its text).
 
     ``counted`` weighs a shingle by how often it occurs (weighted Jaccard) instead of once (Jaccard of sets).
     n_links counts the links that were found for the row's text; the copies of a text are not links, and pairs of blocks
@@ -227,13 +228,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 words = hasher.words(text.as_py())
                 digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 bands.append(band_buckets(dart(*_elements(shingles(hasher, words, width), counted))).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(bands, pa.binary())], names=["doc_id", "text_tag", "digest", "bands"])
 
-    rows = ws.stage(_source(docs).mapInArrow(sign, "doc_id long, digest binary, bands binary").withColumn("row_tag", F.monotonically_increasing_id()), "rows")
+    rows = ws.stage(_source(docs).mapInArrow(sign, "doc_id long, text_tag long, digest binary, bands binary").withColumn("row_tag", F.monotonically_increasing_id()), "rows")
     first = F.min(F.struct("doc_id", "row_tag"))
     members = ws.stage(
         group_facts(rows.drop("bands"), ["digest"], ["row_tag"], [("first", first, F.min("first")), ("n_copies", F.count(F.lit(1)), F.sum("n_copies"))]).select(
-            "doc_id", "row_tag", F.col("first.row_tag").alias("node"), "n_copies"
+            "doc_id", "text_tag", "row_tag", F.col("first.row_tag").alias("node"), "n_copies"
         ),
         "members",
     )
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 out.append(np.unique(found).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "elements"])
 
-    source = _source(docs).withColumnRenamed("doc_id", "text_id")
+    source = _source(docs).drop("text_tag").withColumnRenamed("doc_id", "text_id")
     elements = ws.stage(
         source.join(wanted, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("text", "node", "digest").mapInArrow(sets, "node long, elements binary").dropDuplicates(["node"]), "elements"
     )
@@ -348,7 +349,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     salted = members.withColumn("salt", F.pmod(F.xxhash64("row_tag"), F.lit(1024)).cast("int"))
     heads = salted.select("node", "salt").distinct().join(labels.join(degree, "node"), "node")
     rows_out = ws.stage(
-        salted.join(heads, ["node", "salt"], "left").select("doc_id", "row_tag", "n_copies", F.coalesce("label", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes"
+        salted.join(heads, ["node", "salt"], "left").select("doc_id", "text_tag", "row_tag", "n_copies", F.coalesce("label", "node").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes"
     )
     facts = group_facts(rows_out, ["class"], ["row_tag"], [("keep", F.min(F.struct("doc_id", "row_tag")), F.min("keep")), ("class_size", F.count(F.lit(1)), F.sum("class_size"))])
-    return facts.select("doc_id", F.col("keep.doc_id").alias("class_id"), F.col("class_size").cast("long"), (F.col("keep.row_tag") == F.col("row_tag")).alias("kept"), F.col("n_copies").cast("long"), F.col("n_links").cast("long"))
+    return facts.select("doc_id", F.col("keep.doc_id").alias("class_id"), F.col("class_size").cast("long"), (F.col("keep.row_tag") == F.col("row_tag")).alias("kept"), F.col("n_copies").cast("long"), F.col("n_links").cast("long"), "text_tag")

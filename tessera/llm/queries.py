@@ -61,7 +61,7 @@ def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_tag")
 
 
 def op8_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
