@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. Stages work on all that their predecessor kept. All but the last return the columns of ``documents``.
+
+Defined results, for every stage: a null or empty text has no words and goes with the quality rules; very long texts are read and cut whole; of
+copies the longest original stays, then the least doc_id, and rows without a doc_id come before the others; of near copies the least doc_id; of
+rows that repeat doc_id and text one stays; several texts under one doc_id are judged apart; an empty table passes through as one; other columns,
+whatever their names, are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -51,19 +56,19 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _apply(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The kept rows of ``docs``: an anti join on the identifiers that go; only those travel besides the texts."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "pipeline-decisions")
-    counts = decisions.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("rows"))
-    gone = ws.stage(counts.where("stay < rows"), "gone")
-    whole = gone.where("stay = 0").select(F.col("doc_id").alias("at"))
-    rest = docs.select(*COLUMNS).join(whole, F.col("doc_id").eqNullSafe(F.col("at")), "left_anti")
-    repeated = gone.where("stay > 0").select(F.col("doc_id").alias("at"))
+    """The kept rows of ``docs``: an anti join on the (identifier, text) pairs that go; only those travel besides the texts."""
+    ws = Workspace(docs.sparkSession, "pipeline-decisions")
+    counts = decisions.groupBy("doc_id", "text_tag").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("rows"))
+    gone = ws.stage(counts.where("stay < rows").select(F.col("doc_id").alias("at"), F.col("text_tag").alias("tag"), "stay"), "gone")
+    tagged = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_tag"))
+    same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("own_tag") == F.col("tag"))
+    rest = tagged.join(gone.where("stay = 0"), same, "left_anti")
+    repeated = gone.where("stay > 0")
     if not repeated.limit(1).count():
-        return rest
-    # Rows that repeat an identifier: copies of one text. One of each text stays.
-    again = rest.join(repeated, F.col("doc_id").eqNullSafe(F.col("at")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.join(repeated, F.col("doc_id").eqNullSafe(F.col("at")), "left_anti").unionByName(again)
+        return rest.select(*COLUMNS)
+    # Rows that repeat an identifier and its text: one of them stays.
+    again = rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "own_tag"])
+    return rest.join(repeated, same, "left_anti").unionByName(again).select(*COLUMNS)
 
 
 #: (name, function), in order.
