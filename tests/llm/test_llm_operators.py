@@ -810,3 +810,95 @@ def test_pipeline(docs, rows, spark, tmp_path):
     assert [n for n, _ in counts] == [n for n, _ in corpus_pipeline.STAGES]
     assert counts[0][1] > counts[1][1] >= counts[2][1] == counts[3][1]
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == counts[3][1]
+
+
+def masked(t):
+    """A text without its secrets, by Python's own regular expressions."""
+    from tessera.llm.secrets import RULES
+
+    spans = []
+    for rule in RULES:
+        spans += [m.span() for m in re.finditer(rule.pattern, t) if len(m[rule.group]) >= rule.least]
+    out, at = "", 0
+    for x, y in sorted(spans):
+        if x >= at:
+            out, at = out + t[at:x] + "[REDACTED]", y
+        else:
+            at = max(at, y)
+    return out + t[at:]
+
+
+def near_classes(items):
+    """The least index of each text's class of near copies."""
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for w in (WORD.findall(t) for _, t in items)]
+    label = list(range(len(items)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return label
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows, on copies, near copies, junk, secrets, rows without ids, repeated rows and ids with several texts."""
+    import corpus_pipeline
+
+    r, case = random.Random(15), []
+    bases = [prose(3000 + i, r.randint(55, 220)) for i in range(40)]
+    for i, t in enumerate(bases):
+        case.append((i, t))
+        if i % 4 == 0:
+            case.append((100 + i, t.replace(" ", "  ", 3)))  # longer, the same words
+        if i % 5 == 0:
+            w = t.split()
+            case.append((200 + i, " ".join([*w[: len(w) // 2], "edit", *w[len(w) // 2 :]])))
+        if i % 7 == 0:
+            case.append((300 + i, t + "\npassword = hunter2hunter2XY token: abcdefghijklmnop " + prose(4000 + i, 20) + " AKIA" + "A1" * 8))
+    case += [(None, bases[3]), (None, bases[5] + " x"), (None, None), (400, ""), (401, "x " * 300), (402, "short text"), (7, bases[7]), (7, bases[8]), (7, prose(5000, 80)), (7, prose(5000, 80)), (403, prose(5001, 6000))]
+    made = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1) for i, t in case], "doc_id long, text string, lang string, source string, n_chars long, own_tag int")
+    made.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+
+    key = lambda row: (row[0] is not None, row[0] or 0)
+    kept = [row for row in case if measured(row[1])[3]]
+    want = {"quality_rules": kept}
+    groups = {}
+    for row in kept:
+        groups.setdefault(normal(row[1]), []).append(row)
+    want["exact_dedup"] = [min(rows, key=lambda row: (-len(row[1]), key(row))) for rows in groups.values()]
+    items = sorted(want["exact_dedup"], key=key)
+    label = near_classes(items)
+    want["near_dedup"] = [row for i, row in enumerate(items) if label[i] == i]
+    want["secret_scan"] = [(i, masked(t)) for i, t in want["near_dedup"]]
+    assert len({len(v) for v in list(want.values())[:3]}) == 3 and want["secret_scan"] != want["near_dedup"]
+
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        f(spark, stage, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stage.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted(((x.doc_id, x.text) for x in stage.collect()), key=lambda row: (key(row), row[1])) == sorted(want[name], key=lambda row: (key(row), row[1])), name
+        assert not stage.where("n_chars != length(text)").count()
+
+    pieces = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(x.doc_id, []).append((x.piece, x.start, x.length, x.ids_crc32))
+    expected = {}
+    for i, t in want["secret_scan"]:
+        ids, at = ids_of(t), 0
+        head = len(ids) - (len(ids) - 1) // 2048 * 2048
+        for n, start in enumerate([0, *range(head, len(ids), 2048)]):
+            end = head if not n else start + 2048
+            expected.setdefault(i, []).append((n, start, end - start, crc(ids[start:end])))
+    assert {i: sorted(v) for i, v in pieces.items()} == {i: sorted(v) for i, v in expected.items()}
+
+
+def test_pipeline_on_an_empty_table(empty, spark, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
