@@ -15,8 +15,8 @@ from functools import lru_cache
 import numpy as np
 
 END = b"\x00\x00\x00\x00"
-#: Pieces that a worker remembers, from one task to the next: about 200 bytes each.
-REMEMBER = 1_000_000
+#: Pieces that a task remembers: about 200 bytes each. Tasks start anew, so workers hold none between them.
+REMEMBER = 600_000
 _UNSURE = re.compile(r"\s\s(?:\s|\Z)")
 _MARKS = (".", ",", "!", "?", ";", ":")
 
@@ -43,16 +43,18 @@ def _load(path: str):
 
 
 class _Known(dict):
-    """Piece to packed ids; asks for a new one, and forgets everything when it is full."""
+    """Piece to packed ids; asks for a new one. When half of what may be remembered is new, the older half goes: pieces in use stay."""
 
     def __init__(self, learn: Callable[[str], bytes], most: int):
         super().__init__()
-        self.learn, self.most = learn, most
+        self.learn, self.half, self.older = learn, max(1, most // 2), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.learn(piece)
+        ids = self.older.get(piece) or self.learn(piece)
+        self[piece] = ids
         return ids
 
 
@@ -108,12 +110,6 @@ class PackedEncoder:
         return out
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> PackedEncoder:
-    """The worker's encoder, with what it has learnt in earlier tasks."""
-    return PackedEncoder(path)
-
-
 def small_batches(texts: list[str], most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """(start, texts) of runs of at most about ``most`` characters, so that a worker's memory stays bounded."""
     start = size = 0

@@ -21,7 +21,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class _Known(dict):
     """Word to its 64-bit hash; forgets everything when it is full."""
 
-    most = 1_500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
