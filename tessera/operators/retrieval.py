@@ -21,6 +21,8 @@ from ..functions.text import tokens
 from .staging import staged
 
 DIGITS = 6
+#: For sums of fractions, whose exact values often end half-way between two numbers of six digits.
+FINE = 12
 
 
 def query_terms(queries: DataFrame, text: str = "query", id_col: str = "query_id") -> DataFrame:
@@ -118,7 +120,7 @@ def lexical(docs: DataFrame, terms: DataFrame, queries: DataFrame) -> DataFrame:
     texts = docs.select("chunk_id", F.array_join("tokens", " ").alias("body"))
     both = per.join(shape, "query_id").join(texts, "chunk_id")
     score = 0.60 * F.col("matched") / F.col("n") + 0.25 * F.col("capped") / F.col("n") + 0.15 * F.contains("body", "joined").cast("int")
-    return both.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), score), DIGITS).alias("lexical"))
+    return both.select("query_id", "chunk_id", F.round(F.least(F.lit(1.0), score), FINE).alias("lexical"))
 
 
 def blend(lexical_scores: DataFrame, semantic: DataFrame, lexical_weight: float = 0.7, semantic_weight: float = 0.3) -> DataFrame:
@@ -128,7 +130,7 @@ def blend(lexical_scores: DataFrame, semantic: DataFrame, lexical_weight: float
     both = lexical_scores.join(semantic, ["query_id", "chunk_id"], "full").select(
         "query_id", "chunk_id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), scores.bounded(F.col("semantic")).alias("semantic")
     )
-    return both.withColumn("score", F.round((wl * F.col("lexical") + ws * F.col("semantic")) / (wl + ws), DIGITS)).where("score > 0")
+    return both.withColumn("score", F.round((wl * F.col("lexical") + ws * F.col("semantic")) / (wl + ws), FINE + 2)).where("score > 0")
 
 
 def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -190,7 +192,7 @@ def _placed(found: DataFrame, most: int | None) -> DataFrame:
     kept = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     kept = kept.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("place")))
     kept = kept if most is None else kept.where(F.col("position") <= most)
-    return kept.withColumn("score", F.round("score", 2 * DIGITS)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
+    return kept.withColumn("score", F.round("score", FINE)).withColumn("is_seed", F.col("place")[0] == 0).drop("place")
 
 
 def feedback_terms(hits: DataFrame, docs: DataFrame, terms: DataFrame, n: int = 6) -> DataFrame:

@@ -72,7 +72,7 @@ def knowledge_hits(spark, d):
     return r.top(r.lexical(docs, terms, q).join(facts, "chunk_id"), 10, "lexical", F.desc("version_order"), F.desc_nulls_last("valid_from")).select("query_id", "chunk_id", "lexical", "rank")
 
 
-_RECALL = f"{_MEM}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('chunks')}, {sql.TF}, {_LEX}, rec AS (SELECT query_id, chunk_id AS memory_id, lexical, importance, updated_at, round(.80::DOUBLE * lexical + .15::DOUBLE * importance + .05::DOUBLE * fresh, 6) AS score FROM lexical JOIN fr USING (chunk_id) JOIN (SELECT chunk_id, updated_at FROM chunks) USING (chunk_id))"
+_RECALL = f"{_MEM}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('chunks')}, {sql.TF}, {_LEX}, rec AS (SELECT query_id, chunk_id AS memory_id, lexical, importance, updated_at, round(.80::DOUBLE * lexical + .15::DOUBLE * importance + .05::DOUBLE * fresh, 14) AS score FROM lexical JOIN fr USING (chunk_id) JOIN (SELECT chunk_id, updated_at FROM chunks) USING (chunk_id))"
 
 
 def recalled(spark, d, k: int):
@@ -80,7 +80,7 @@ def recalled(spark, d, k: int):
     q, m = c.queries(spark, d), _own_memory(spark, d)
     lexical = r.lexical(r.documents_of(m.select(F.col("memory_id").alias("chunk_id"), F.col("content").alias("text"))), r.query_terms(q), q).withColumnRenamed("chunk_id", "memory_id")
     both = lexical.join(m.select("memory_id", "content", "scope", "importance", "updated_at", _fresh().alias("fresh")), "memory_id")
-    scored = both.withColumn("score", F.round(0.80 * F.col("lexical") + 0.15 * F.col("importance") + 0.05 * F.col("fresh"), 6))
+    scored = both.withColumn("score", F.round(0.80 * F.col("lexical") + 0.15 * F.col("importance") + 0.05 * F.col("fresh"), r.FINE + 2))
     return r.top(scored, k, "score", F.desc("lexical"), F.desc("importance"), F.desc("updated_at"), id_col="memory_id")
 
 

@@ -86,7 +86,7 @@ _COSINE = "list_dot_product(embedding::DOUBLE[], qv::DOUBLE[]) / (sqrt(list_dot_
 _LEX = f"""lex AS (SELECT qt.query_id, tf.chunk_id, count(*) AS matched, sum(least(tf.tf, 3) / 3.0::DOUBLE) AS capped FROM qt JOIN tf USING (term) GROUP BY ALL),
     qs AS (SELECT query_id, len(x) AS n, array_to_string(list_sort(x, 'ASC'), ' ') AS unused FROM (SELECT query_id, list_distinct({sql.tok('query')}) AS x FROM queries)),
     qj AS (SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS joined FROM qt GROUP BY ALL),
-    lexical AS (SELECT query_id, chunk_id, round(least(1.0, 0.60::DOUBLE * matched / n + 0.25::DOUBLE * capped / n + 0.15::DOUBLE * contains(array_to_string(tokens, ' '), joined)::INT), 6) AS lexical
+    lexical AS (SELECT query_id, chunk_id, round(least(1.0, 0.60::DOUBLE * matched / n + 0.25::DOUBLE * capped / n + 0.15::DOUBLE * contains(array_to_string(tokens, ' '), joined)::INT), 12) AS lexical
         FROM lex JOIN qs USING (query_id) JOIN qj USING (query_id) JOIN docs USING (chunk_id))"""
 _LEXICAL = f"{sql.SCOPED}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('scoped')}, {sql.TF}, {_LEX}"
 
@@ -100,7 +100,7 @@ def lexical_topk(spark, d):
     f"""WITH {_LEXICAL}, sem AS (SELECT query_id, chunk_id, score AS semantic FROM (SELECT query_id, chunk_id, {_COSINE} AS score FROM (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT query_id FROM queries)) JOIN (SELECT vec_id AS chunk_id, embedding FROM embeddings WHERE vec_id IN (SELECT chunk_id FROM scoped)) ON true)
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) <= 50),
     b AS (SELECT query_id, chunk_id, coalesce(lexical, 0) AS lexical, greatest(0, least(1, coalesce(round(semantic, 6), 0))) AS semantic FROM lexical FULL JOIN sem USING (query_id, chunk_id)),
-    s AS (SELECT *, round((0.7 * lexical + 0.3 * semantic) / (0.7 + 0.3), 6) AS score FROM b) SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+    s AS (SELECT *, round((0.7::DOUBLE * lexical + 0.3::DOUBLE * semantic) / (0.7::DOUBLE + 0.3::DOUBLE), 14) AS score FROM b) SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 )
 def lexical_semantic_blend(spark, d):
     """Lexical scores of all matched chunks with the semantic scores of the 50 visible chunks nearest to each query."""
@@ -114,7 +114,7 @@ _MEM = f"""{sql.MEMORY}, chunks AS (SELECT memory_id AS chunk_id, content AS tex
 
 
 @query(
-    f"""WITH {_MEM}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('chunks')}, {sql.TF}, {_LEX}, s AS (SELECT query_id, chunk_id AS memory_id, round(.80::DOUBLE * lexical + .15::DOUBLE * importance + .05::DOUBLE * fresh, 6) AS score FROM lexical JOIN fr USING (chunk_id))
+    f"""WITH {_MEM}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('chunks')}, {sql.TF}, {_LEX}, s AS (SELECT query_id, chunk_id AS memory_id, round(.80::DOUBLE * lexical + .15::DOUBLE * importance + .05::DOUBLE * fresh, 14) AS score FROM lexical JOIN fr USING (chunk_id))
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id)::INT AS rank FROM s) WHERE rank <= 5"""
 )
 def memory_recall(spark, d):
@@ -122,7 +122,7 @@ def memory_recall(spark, d):
     m = _own_memory(spark, d)
     lexical = r.lexical(r.documents_of(m.select(F.col("memory_id").alias("chunk_id"), F.col("content").alias("text"))), r.query_terms(q), q).withColumnRenamed("chunk_id", "memory_id")
     both = lexical.join(m.select("memory_id", "importance", _fresh().alias("fresh")), "memory_id")
-    return r.top(both.select("query_id", "memory_id", F.round(0.80 * F.col("lexical") + 0.15 * F.col("importance") + 0.05 * F.col("fresh"), 6).alias("score")), 5, id_col="memory_id")
+    return r.top(both.select("query_id", "memory_id", F.round(0.80 * F.col("lexical") + 0.15 * F.col("importance") + 0.05 * F.col("fresh"), r.FINE + 2).alias("score")), 5, id_col="memory_id")
 
 
 @query(f"WITH {_MEM} SELECT * FROM (SELECT chunk_id AS memory_id, round(.75::DOUBLE * importance + .25::DOUBLE * fresh, 6) AS score FROM fr) ORDER BY score DESC, memory_id LIMIT 10")
