@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, group_facts
 
 #: Fixed values: (rule, verdict).
-RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Pseudo-labels with which a template starts, at the purity of its parent.
 SMOOTHING = 8.0
 #: A template is rejected if its smoothed share of blocked labels is over this.
