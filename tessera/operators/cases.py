@@ -76,10 +76,11 @@ def project_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
 
 def consume_receipts(heads: DataFrame, receipts: DataFrame) -> DataFrame:
     """Which unconsumed receipt (receipt_id, fact_key, value_hash, authority, consumed_by) verifies each fact head; each is used once."""
-    free = receipts.where("consumed_by IS NULL")
-    match = heads.join(free, ["fact_key", "value_hash", "authority"])
-    one = match.withColumn("n", F.row_number().over(Window.partitionBy("fact_id").orderBy("receipt_id"))).where("n = 1")
-    return one.withColumn("m", F.row_number().over(Window.partitionBy("receipt_id").orderBy("fact_id"))).where("m = 1").select("fact_id", "receipt_id")
+    key = ["fact_key", "value_hash", "authority"]
+    # Only a key's first receipt can be the first of any of its facts: facts meet one row per key, not all its receipts.
+    first = receipts.where("consumed_by IS NULL").groupBy(*key).agg(F.min("receipt_id").alias("receipt_id"))
+    one = heads.join(first, key).groupBy("fact_id").agg(F.min("receipt_id").alias("receipt_id"))
+    return one.groupBy("receipt_id").agg(F.min("fact_id").alias("fact_id")).select("fact_id", "receipt_id")
 
 
 def private_memory(rows: DataFrame, now: datetime) -> DataFrame:
