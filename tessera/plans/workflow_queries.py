@@ -156,9 +156,9 @@ def store_candidates(spark, d):
 
 @query(f"WITH {sql.SCOPED} SELECT chunk_id FROM scoped WHERE version_order IN (1) AND (kb IN ('src1', 'src2', '20') OR logical_id::VARCHAR IN ('src1', 'src2', '20')) AND chunk_id IN (SELECT doc_id FROM labels)")
 def request_filters(spark, d):
-    """Version orders, sources by uri or logical id, and an allow-list, all before anything is ranked."""
+    """Version orders, sources by uri or logical id, and an allow-list (a table, of any length), all before anything is ranked."""
     allow = c.table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"))
-    return scope.scoped(c.chunks(spark, d), c.PRINCIPAL, c.NOW, version_orders=[1], sources=["src1", "src2", "20"], allow=allow).select("chunk_id")
+    return scope.scoped(c.chunks(spark, d), c.PRINCIPAL, c.NOW, version_orders=[1], sources=["src1", "src2", "20"], allow=allow, allow_most=None).select("chunk_id")
 
 
 @query(f"WITH {sql.SCOPED} SELECT chunk_id, kb, version FROM scoped WHERE chunk_id IN (SELECT doc_id FROM labels)")
