@@ -188,7 +188,7 @@ def ablation_matrix(spark, d):
     q = c.queries(spark, d)
     terms = r.query_terms(q)
     first = staged(r.bm25(docs, terms, 25), "first-pass")
-    stages = {"bm25": first, "bm25_rerank": r.rerank(first, docs, q, 10), "lexical": r.top(r.lexical(docs, terms, q), 10, "lexical")}
+    stages = {"bm25": first, "bm25_rerank": r.rerank(first, docs, q, 10), "lexical": r.lexical_top(docs, terms, q, 10)}
     hits = None
     for name, found in stages.items():
         part = found.where("rank <= 10").select(F.concat(F.lit(f"{name}/"), F.col("query_id")).alias("case_id"), F.col("chunk_id").alias("doc"), "rank")
