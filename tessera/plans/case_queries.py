@@ -132,7 +132,7 @@ def signature_check(spark, d):
 )
 def graph_lexical_fused(spark, d):
     graph = linked(spark, d).select(F.lit("graph").alias("list"), "query_id", F.col("document_id").alias("chunk_id"), "rank")
-    found = r.top(r.lexical(*governed(spark, d)), 12, "lexical").select(F.lit("lexical").alias("list"), "query_id", "chunk_id", "rank")
+    found = r.lexical_top(*governed(spark, d), 12).select(F.lit("lexical").alias("list"), "query_id", "chunk_id", "rank")
     return r.rrf(found.unionByName(graph)).drop("lists")
 
 

@@ -93,7 +93,7 @@ _LEXICAL = f"{sql.SCOPED}, {sql.QUERIES}, {sql.TERMS}, {sql.docs('scoped')}, {sq
 
 @query(f"WITH {_LEXICAL} SELECT * FROM (SELECT query_id, chunk_id, lexical, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, chunk_id)::INT AS rank FROM lexical) WHERE rank <= 10")
 def lexical_topk(spark, d):
-    return r.top(r.lexical(*governed(spark, d)), 10, "lexical")
+    return r.lexical_top(*governed(spark, d), 10)
 
 
 @query(
@@ -242,7 +242,7 @@ _LISTS = f"""{_LEXICAL}, st AS (SELECT count(*) AS n, avg(length) AS a FROM docs
 def _lists(spark, d):
     docs, terms, q = governed(spark, d)
     named = lambda hits, name: hits.select(F.lit(name).alias("list"), "query_id", "chunk_id", "rank")
-    return named(r.bm25(docs, terms, 25), "bm25").unionByName(named(r.top(r.lexical(docs, terms, q), 25, "lexical"), "lexical"))
+    return named(r.bm25(docs, terms, 25), "bm25").unionByName(named(r.lexical_top(docs, terms, q, 25), "lexical"))
 
 
 def _fused(w: str) -> str:
