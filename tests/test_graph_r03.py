@@ -31,3 +31,12 @@ def test_search_counts_few_documents_in_full(spark, monkeypatch):
         want = sorted((-v, d) for d, v in votes.items() if v)[:12]
         assert sorted(got.get(q, [])) == [(i + 1, d, -v) for i, (v, d) in enumerate(want)], q
     assert sum(len(x.docs) // 8 for part in counted for x in part.select("docs").collect()) < len(held) // 2
+
+
+def test_edges_come_neighbour_by_neighbour(spark):
+    """Rows changed their neighbour every time before, which columnar files cannot hold in runs."""
+    held = {i: {f"p{i % 3}", f"own{i}"} for i in range(300)}
+    dp = spark.createDataFrame([(d, p) for d, ps in held.items() for p in ps], "document_id long, phrase string")
+    found = [tuple(x) for x in graph.edges_of(dp, dp.where("document_id % 10 = 0")).collect()]
+    assert sorted(found) == sorted((a, b) for a in held if a % 10 == 0 for b in held if a != b and held[a] & held[b])
+    assert sum(x[1] != y[1] for x, y in zip(found, found[1:])) < len(found) // 2
